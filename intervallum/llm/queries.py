@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from intervallum.llm import encode, nearest
+from intervallum.llm import encode, leaks, nearest
 from intervallum.tables import table
 
 
@@ -17,7 +17,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_ids)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p9_found)}
 
 SQL = {
     "p7_found": """
