@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from intervallum.llm import encode, leaks, nearest
+from intervallum.llm import encode, leaks, nearest, subjects
 from intervallum.tables import table
 
 
@@ -21,7 +21,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p9_found, p10_found)}
 
 SQL = {
     "p7_found": """
