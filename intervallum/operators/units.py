@@ -48,6 +48,8 @@ EQUAL_UNITS = {
 NUMBER_TEXT = r"^\s*([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+(?![\d^*/]))?)\s*(.*?)\s*$"
 #: Width of a magnitude bin (decades), cells used for fitting, trees, depth, and the mean probability from which a unit is taken.
 BIN, FIT_CELLS, TREES, DEPTH, CONFIDENT = 0.02, 60_000, 24, 5, 0.8
+#: The table of inferred units is broadcast up to so many rows (a few MB), else joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def unit_key(text: Column) -> Column:
@@ -264,6 +266,8 @@ def harmonise(rows: DataFrame, concept_catalog: DataFrame, unit_catalog: DataFra
         F.col("concept_name").alias("_c"), F.col("source_id").alias("_s"), F.col("unit_code").alias("_u"), F.col("factor").alias("_f"), F.col("shift").alias("_h"), "probability"
     )
     on = F.col("unit_code").isNull() & (F.col("concept_name") == F.col("_c")) & F.col("source_id").eqNullSafe(F.col("_s"))
+    if inferred.count() <= BROADCAST_ROWS:
+        guess = F.broadcast(guess)
     full = read.join(guess, on, "left").join(F.broadcast(measures), "concept_name")
     factor, shift = F.coalesce("factor", "_f", F.lit(1.0)), F.coalesce("shift", "_h", F.lit(0.0))
     return full.select(
