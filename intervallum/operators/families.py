@@ -130,12 +130,17 @@ def parameterized_concept(d: M.ParameterizedConcept, sources: DataFrame) -> Data
         x = number(F.get(value, F.lit(c.idx)))
         args = [number(values[r]) for r in c.parameters] + [_literal(t) for t in c.literals]
         result = call(c.function, x, *args).cast("string")
-        value = F.transform(value, lambda v, k, result=result, idx=c.idx: F.when(k == idx, result).otherwise(v))
+        value = _replaced(value, c.idx, result)
         rows = rows.withColumn("value", value).where(F.get("value", F.lit(c.idx)).isNotNull())
         value = F.col("value")
     return frame(rows, d.name, F.col("value"), d.family)
 
 
+def _replaced(value: Column, idx: int, result: Column) -> Column:
+    """The list with element idx replaced."""
+    return F.transform(value, lambda v, k: F.when(k == idx, result).otherwise(v))
+
+
 def _literal(text: str) -> Column:
     try:
         return F.lit(float(text))
