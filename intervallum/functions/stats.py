@@ -183,8 +183,9 @@ def feature_table(labels: DataFrame, by_aspect: DataFrame, aspects: Sequence[str
     """One row per label with a column per aspect, null where it never applied."""
     key = labels.columns
     wide = by_aspect.groupBy(*key).pivot("aspect", list(aspects)).agg(F.first("avg_score"))
-    same = [labels[k].eqNullSafe(wide[k]) for k in key]
-    return labels.join(wide, same, "left").select(*[labels[k] for k in key], *[wide[f"`{a}`"] for a in aspects])
+    wide = wide.select(*[F.col(k).alias(f"__{k}") for k in key], *[F.col(f"`{a}`") for a in aspects])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    return labels.join(wide, same, "left").select(*key, *[F.col(f"`{a}`") for a in aspects])
 
 
 def impute(df: DataFrame, columns: Sequence[str], most_missing: float = 0.95) -> DataFrame:
