@@ -27,7 +27,7 @@ from intervallum.tables import cut
 
 SPIKE_AT, STUCK_RUN, PRIOR, ROUNDS = 8.0, 6, 12, 5
 SHARD_ROWS, HALO, BLOCK = 200_000, 6, 250_000
-SERIES = ["patient_id", "concept_name", "source_key"]
+SERIES = ["patient_id", "concept_key", "source_key"]
 
 
 def _group_median(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
@@ -101,11 +101,11 @@ def excursion(u: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def judge(block: pd.DataFrame) -> pd.DataFrame:
-    """Candidates and statistics of whole series; `block` is sorted by patient_id, concept_name, source_key, shard, t, row_id.
+    """Candidates and statistics of whole series; `block` is sorted by patient_id, concept_key, source_key, shard, t, row_id.
 
     Out: row_id (null: a statistics row), kind, the series, n, scatter, centre, away (excursion).
     """
-    new = np.r_[True, (block[[*SERIES, "shard"]].to_numpy(object)[1:] != block[[*SERIES, "shard"]].to_numpy(object)[:-1]).any(1)] if len(block) else np.zeros(0, bool)
+    new = np.r_[True, _changes(block)] if len(block) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     groups = int(new.sum())
     y, t, tol, ok = (block[c].to_numpy() for c in ("y", "t", "tol", "possible"))
@@ -173,6 +173,15 @@ def judge(block: pd.DataFrame) -> pd.DataFrame:
     return out[(out.kind != "spike") | (out.away > 0)]
 
 
+def _changes(block: pd.DataFrame) -> np.ndarray:
+    """Where a row is of another series or shard than the row before."""
+    out = np.zeros(len(block) - 1, bool)
+    for c in (*SERIES, "shard"):
+        v = block[c].to_numpy()
+        out |= v[1:] != v[:-1]
+    return out
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Arrow batches joined to blocks that end where a series ends."""
     held: list[pd.DataFrame] = []
@@ -182,8 +191,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows += len(part)
         if rows >= BLOCK:
             whole = pd.concat(held, ignore_index=True)
-            keys = whole[[*SERIES, "shard"]].to_numpy(object)
-            change = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+            change = np.flatnonzero(_changes(whole))
             if len(change):
                 end = int(change[-1]) + 1
                 yield judge(whole.iloc[:end])
@@ -229,7 +237,7 @@ def implausible(harmonised: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFram
     rows = harmonised.select(
         "row_id",
         "patient_id",
-        "concept_name",
+        F.xxhash64("concept_name").alias("concept_key"),
         F.xxhash64("source_id").alias("source_key"),
         F.unix_micros(F.col("start_date_time").cast("timestamp")).alias("t"),
         "y",
@@ -241,12 +249,12 @@ def implausible(harmonised: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFram
     lone = rows.where(~timed & ~F.col("possible")).select("row_id", F.lit("impossible").alias("kind"))
     order = [*SERIES, "shard", "t", "row_id"]
     placed = sharded(rows.where(timed), shard_rows).repartition(*SERIES, "shard").sortWithinPartitions(*order)
-    schema = "patient_id long, concept_name string, source_key long, row_id long, kind string, n long, scatter double, centre double, away double"
+    schema = "patient_id long, concept_key long, source_key long, row_id long, kind string, n long, scatter double, centre double, away double"
     found = cut(placed.mapInPandas(_blocks, schema))
     series = found.where("row_id is null").groupBy(*SERIES).agg(F.sum("n").alias("n"), (F.sum(F.col("scatter") * F.col("n")) / F.sum(F.when(F.col("scatter").isNotNull(), F.col("n")))).alias("scatter"), (F.sum(F.col("centre") * F.col("n")) / F.sum("n")).alias("centre"))
-    usual = series.where("n >= 10 and centre > 0").groupBy("concept_name").agg(F.percentile_approx(F.col("scatter") / F.col("centre"), 0.5, 10_000).alias("usual"))
+    usual = series.where("n >= 10 and centre > 0").groupBy("concept_key").agg(F.percentile_approx(F.col("scatter") / F.col("centre"), 0.5, 10_000).alias("usual"))
     flagged = found.where("row_id is not null")
-    spikes = flagged.where("kind = 'spike'").select(*SERIES, "row_id", "away").join(series, SERIES).join(usual, "concept_name", "left")
+    spikes = flagged.where("kind = 'spike'").select(*SERIES, "row_id", "away").join(series, SERIES).join(usual, "concept_key", "left")
     own, prior = F.coalesce("scatter", F.col("usual") * F.col("centre"), F.lit(0.0)), F.coalesce(F.col("usual") * F.col("centre"), "scatter", F.lit(0.0))
     scatter = F.sqrt((F.col("n") * own * own + PRIOR * prior * prior) / (F.col("n") + PRIOR))
     real = spikes.where((F.col("away") > SPIKE_AT * scatter) & (scatter > 0)).select("row_id", F.lit("spike").alias("kind"))
