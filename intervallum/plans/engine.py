@@ -17,9 +17,12 @@ from intervallum.tables import cut
 
 
 def records_of(df: DataFrame, patient: str = "patient_id", concept: str = "concept_name", start: str = "start_date_time", end: str = "end_date_time", value: str = "value", ordinal: str | None = None) -> DataFrame:
-    """Input records in the engine's form. Rows without patient, concept or start are left out; a null end is the start."""
+    """Input records in the engine's form. Rows without patient, concept or start are left out; a null end is one second after the start.
+
+    Records of no length are kept, but clipping by global clippers drops them, as it drops every empty interval.
+    """
     ord_ = F.col(ordinal).cast("long") if ordinal else F.xxhash64(patient, concept, start, end, value)
-    return df.select(F.col(patient).cast("long").alias("patient_id"), F.col(concept).alias("concept"), F.col(start).alias("start"), F.coalesce(end, start).alias("end"), F.col(value).cast("string").alias("value"), ord_.alias("ord")).dropna(subset=["patient_id", "concept", "start"])
+    return df.select(F.col(patient).cast("long").alias("patient_id"), F.col(concept).alias("concept"), F.col(start).alias("start"), F.coalesce(F.col(end), F.col(start) + F.expr("interval 1 second")).alias("end"), F.col(value).cast("string").alias("value"), ord_.alias("ord")).dropna(subset=["patient_id", "concept", "start"])
 
 
 class Abstraction:

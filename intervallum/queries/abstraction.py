@@ -10,6 +10,7 @@ from intervallum.operators import families
 from intervallum.plans import model as M
 from intervallum.plans.engine import Abstraction, output_rows, score_rows
 from intervallum.plans.knowledge import KnowledgeBase
+from intervallum.queries.rounding import six, six_sql
 from intervallum.sources import records as R
 from intervallum.tables import table
 
@@ -78,7 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> Abstraction:
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    return df.select("patient_id", "ord", micros("start").alias("start_us"), F.round(F.get("value", F.lit(0)).cast("double"), 6).alias("x"))
+    return df.select("patient_id", "ord", micros("start").alias("start_us"), six(F.get("value", F.lit(0)).cast("double")).alias("x"))
 
 
 def label_rows(df: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def label_rows(df: DataFrame) -> DataFrame:
 
 
 def scored_rows(df: DataFrame) -> DataFrame:
-    return df.select("patient_id", micros("start").alias("start_us"), F.get("value", F.lit(0)).alias("label"), *[F.round(c, 6).alias(c) for c in ("time_score", "value_score", "cyclic_score")])
+    return df.select("patient_id", micros("start").alias("start_us"), F.get("value", F.lit(0)).alias("label"), *[six(c).alias(c) for c in ("time_score", "value_score", "cyclic_score")])
 
 
 def _query(name: str, show) -> object:
@@ -128,7 +129,7 @@ def nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.trend_points(KB.by_name["CLICK_TREND"], run(spark, sf_dir)["CLICK"]).select("patient_id", "ord", F.round(F.col("slope") * 86_400, 6).alias("slope_per_day"), "label")
+    return families.trend_points(KB.by_name["CLICK_TREND"], run(spark, sf_dir)["CLICK"]).select("patient_id", "ord", six(F.col("slope") * 86_400).alias("slope_per_day"), "label")
 
 
 def window_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +149,7 @@ def global_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = run(spark, sf_dir)
     rows = a["BUY_AFTER_VIEW"].unionByName(a["BUY_VALUE"]).unionByName(a["DAILY_VIEWS"])
-    return score_rows(rows).select("patient_id", "pattern_name", micros("start_date_time").alias("start_us"), "compliance_type", F.round("compliance_score", 6).alias("compliance_score"))
+    return score_rows(rows).select("patient_id", "pattern_name", micros("start_date_time").alias("start_us"), "compliance_type", six("compliance_score").alias("compliance_score"))
 
 
 def output_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,11 +180,6 @@ def first_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_rows(rows, ["patient_id", "concept_name", "start_date_time"], ["row_id"]).select("row_id", "patient_id", "concept_name", micros("start_date_time").alias("start_us"), "value")
 
 
-def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The definitions as a table (they do not depend on the data)."""
-    return KB.metadata(spark).select("name", "family", F.concat_ws(",", "needs").alias("needs"))
-
-
 def glucose_abstraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of glucose over the input table's readings, as a state with a window of one day: the flagship query."""
     bands = (("Low", None, 70.0), ("Normal", 70.0, 180.0), ("High", 180.0, None))
@@ -235,7 +231,6 @@ QUERIES = {
     "coverage_check": coverage,
     "table_stats": table_stats,
     "id_coverage": id_coverage,
-    "kb_metadata": metadata,
 }
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
@@ -445,6 +440,7 @@ select p as patient_id, 'FLAG_EVENT' as concept_name, t as start_us, label as va
     "id_coverage": """with a as (select distinct patient_id, true as i from input_patient_data where patient_id is not null), b as (select distinct patient_id, true as o from output_patient_data where patient_id is not null), c as (select distinct visit_id as patient_id, true as v from visit_master)
 select patient_id, coalesce(i, false) as in_input, coalesce(o, false) as in_output, coalesce(v, false) as in_visits from a full join b using (patient_id) full join c using (patient_id)""",
 }
+SQL = {k: six_sql(v) for k, v in SQL.items()}
 SQL["qa_melt"] = " union all ".join(
     f"select patient_id, '{p}' as pattern_name, start_us, '{k}' as compliance_type, {c} as compliance_score from ({SQL[q]}) where {c} is not null"
     for q, p, k, c in (("local_before_time_score", "BUY_AFTER_VIEW", "TimeConstraint", "time_score"), ("local_value_score_min", "BUY_VALUE", "ValueConstraint", "value_score"), ("cyclic_windows_count", "DAILY_VIEWS", "CyclicConstraint", "cyclic_score"))

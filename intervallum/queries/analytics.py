@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intervallum.functions import stats
 from intervallum.functions.exprs import micros
+from intervallum.queries.rounding import rounded, six, six_sql
 from intervallum.tables import cut, table
 
 EVENTS = ("INFECTION_EVENT", "KETOACIDOSIS_EVENT", "DIALYSIS_EVENT")
@@ -17,38 +18,34 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "patient_qa_scores")
 
 
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
 def adherence_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.daily_adherence(_scores(spark, sf_dir)), "day_score").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return rounded(stats.daily_adherence(_scores(spark, sf_dir)), "day_score").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 def adherence_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.type_adherence(_scores(spark, sf_dir))
-    return _rounded(got.select("patient_id", "pattern_name", "compliance_type", "avg_score", micros("first_start").alias("first_us"), micros("last_end").alias("last_us")), "avg_score")
+    return rounded(got.select("patient_id", "pattern_name", "compliance_type", "avg_score", micros("first_start").alias("first_us"), micros("last_end").alias("last_us")), "avg_score")
 
 
 def adherence_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.pattern_adherence(_scores(spark, sf_dir)).select("patient_id", "pattern_name", "avg_score", micros("first_start").alias("first_us")), "avg_score")
+    return rounded(stats.pattern_adherence(_scores(spark, sf_dir)).select("patient_id", "pattern_name", "avg_score", micros("first_start").alias("first_us")), "avg_score")
 
 
 def adherence_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.total_adherence(_scores(spark, sf_dir)).select("patient_id", "total_score", micros("first_start").alias("first_us")), "total_score")
+    return rounded(stats.total_adherence(_scores(spark, sf_dir)).select("patient_id", "total_score", micros("first_start").alias("first_us")), "total_score")
 
 
 def adherence_summary_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.adherence_summary(stats.type_adherence(_scores(spark, sf_dir))), "mean", "sd", "median", "iqr")
+    return rounded(stats.adherence_summary(stats.type_adherence(_scores(spark, sf_dir))), "mean", "sd", "median", "iqr")
 
 
 def monthly_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.monthly(stats.total_adherence(_scores(spark, sf_dir)))
-    return _rounded(got, "mean", "sd", "sem", "low", "high").withColumn("month", F.date_format("month", "yyyy-MM-dd"))
+    return rounded(got, "mean", "sd", "sem", "low", "high").withColumn("month", F.date_format("month", "yyyy-MM-dd"))
 
 
 def event_day_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.event_day_ratio(_scores(spark, sf_dir), table(spark, sf_dir, "output_patient_data"), EVENTS), "event_ratio")
+    return rounded(stats.event_day_ratio(_scores(spark, sf_dir), table(spark, sf_dir, "output_patient_data"), EVENTS), "event_ratio")
 
 
 def _with_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +54,7 @@ def _with_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.score_bins(_with_outcome(spark, sf_dir), "total_score", "death_within_30d", 10, 3), "ratio", "avg_score")
+    return rounded(stats.score_bins(_with_outcome(spark, sf_dir), "total_score", "death_within_30d", 10, 3), "ratio", "avg_score")
 
 
 def visit_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +73,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windowed_qa_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.window_scores(_labels(spark, sf_dir), _scores(spark, sf_dir))
-    return _rounded(got.select("patient_id", "complication", "aspect", "avg_score"), "avg_score")
+    return rounded(got.select("patient_id", "complication", "aspect", "avg_score"), "avg_score")
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -92,19 +89,19 @@ def feature_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, aspects = _features(spark, sf_dir)
     got = stats.impute(wide, aspects, 0.999)
     kept = [a for a in aspects if a in got.columns]
-    return got.select("patient_id", "complication", *[F.round(F.col(f"`{a}`"), 6).alias(a) for a in kept], *[F.col(f"`{a}__missing`").cast("long").alias(f"{a}__missing") for a in kept])
+    return got.select("patient_id", "complication", *[six(F.col(f"`{a}`")).alias(a) for a in kept], *[F.col(f"`{a}__missing`").cast("long").alias(f"{a}__missing") for a in kept])
 
 
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjusted p-values of a made-up family: one per order, by priority."""
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_totalprice"])
     p = F.col("o_totalprice") / 500_000.0
-    return _rounded(stats.benjamini_hochberg(o.select("o_orderkey", "o_orderpriority", F.when(p <= 1, p).alias("p")), "p", ["o_orderpriority"]), "q").drop("p")
+    return rounded(stats.benjamini_hochberg(o.select("o_orderkey", "o_orderpriority", F.when(p <= 1, p).alias("p")), "p", ["o_orderpriority"]), "q").drop("p")
 
 
 def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.welch(_scores(spark, sf_dir).where("compliance_score between 0 and 1"), "compliance_score", F.col("compliance_type") == "TimeConstraint", ["pattern_name"])
-    return _rounded(got.where("pattern_name is not null"), "difference", "t", "dof")
+    return rounded(got.where("pattern_name is not null"), "difference", "t", "dof")
 
 
 def welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +112,12 @@ def welch_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pearson_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem", ["l_returnflag", "l_quantity", "l_extendedprice"])
-    return _rounded(stats.association(l.withColumn("price", F.col("l_extendedprice") / 1000), "l_quantity", "price", ["l_returnflag"]), "r", "slope", "intercept")
+    return rounded(stats.association(l.withColumn("price", F.col("l_extendedprice") / 1000), "l_quantity", "price", ["l_returnflag"]), "r", "slope", "intercept")
 
 
 def correlated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    return _rounded(stats.correlated_pairs(l, l.columns, 0.0005), "r")
+    return rounded(stats.correlated_pairs(l, l.columns, 0.0005), "r")
 
 
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,12 +127,12 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.profile(table(spark, sf_dir, "visit_master"), ["visit_id", "duration_days", "death_within_30d", "hospital"])
-    return _rounded(got, "null_share", "mean", "median")
+    return rounded(got, "null_share", "mean", "median")
 
 
 def period_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stats.compare_periods(_with_outcome(spark, sf_dir), "total_score", "first_start", "2014-01-20 00:00:00", ["hospital"])
-    return _rounded(got, "mean_before", "mean_after", "difference")
+    return rounded(got, "mean_before", "mean_after", "difference")
 
 
 def rows_per_concept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +157,7 @@ def iptw_weights_smd(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cohort(spark, sf_dir)
     share = c.groupBy("n_lines").agg(F.least(F.greatest(F.avg(F.col("treated").cast("double")), F.lit(0.01)), F.lit(0.99)).alias("propensity"))
     w = stats.stabilised_weights(c.join(share, "n_lines"), "treated")
-    return _rounded(stats.balance(w, "treated", ["n_lines", "quantity", "discount"]), "smd_before", "smd_after")
+    return rounded(stats.balance(w, "treated", ["n_lines", "quantity", "discount"]), "smd_before", "smd_after")
 
 
 def firth_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +187,7 @@ def robust_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def aspect_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, aspects = _features(spark, sf_dir)
-    return _rounded(stats.aspect_totals(wide, aspects).select("patient_id", "complication", "total_adherence"), "total_adherence")
+    return rounded(stats.aspect_totals(wide, aspects).select("patient_id", "complication", "total_adherence"), "total_adherence")
 
 
 QUERIES = {
@@ -262,3 +259,4 @@ f as (select treated, n_lines, quantity, discount, greatest(lo, least(hi, w0)) a
     "robust_findings": """with e as (select l_returnflag as complication, cast(l_linenumber as varchar) as feature, l_linestatus, avg(l_discount) - avg(l_tax) as coef from lineitem group by all)
 select complication, feature, count(*) >= 2 and bool_and(abs(coef) > 0.0095) and min(sign(coef)) = max(sign(coef)) and min(sign(coef)) <> 0 as robust from e group by all""",
 }
+SQL = {k: six_sql(v) for k, v in SQL.items()}
