@@ -87,13 +87,15 @@ def typed(cell: Column, kind: str) -> Column:
     return cell.cast("double") if kind == "score" else cell.cast(SQL_TYPES[kind])
 
 
-def pivot_balanced(cells: DataFrame, attributes: Sequence[Attribute], entity: str = "patient_id", block: int = BLOCK_SIZE) -> DataFrame:
+def pivot_balanced(cells: DataFrame, attributes: Sequence[Attribute], entity: str = "patient_id", block: int = BLOCK_SIZE, parts: int | None = None) -> DataFrame:
     """`entity` and one typed column per attribute; `cells`: (entity, attribute, cell) with one row per pair.
 
     Entities without any cell have no row. Attributes keep their names, even if one is named like the entity column
     (then it gets leading underscores). No attributes or no rows give an empty table.
     """
-    kept = cells.select(F.col(entity).alias("__e"), F.col("attribute").alias("__a"), F.col("cell").alias("__c")).repartition("__e").sortWithinPartitions("__e").persist(StorageLevel.MEMORY_AND_DISK)
+    # a number of its own keeps the layout from being changed at run time; the joins rely on it
+    parts = parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = cells.select(F.col(entity).alias("__e"), F.col("attribute").alias("__a"), F.col("cell").alias("__c")).repartition(parts, "__e").sortWithinPartitions("__e").persist(StorageLevel.MEMORY_AND_DISK)
     spine = kept.select("__e").distinct()
 
     def narrow(i: int, a: Attribute) -> DataFrame:
