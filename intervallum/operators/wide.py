@@ -15,6 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intervallum.tables import cut
+
 BLOCK_SIZE, MOST_COLUMNS = 8, 5_000
 #: Texts that stand for no value, and the texts of both truth values.
 NO_VALUE = ("", "n/a", "?", "pending", "not done", "nan")
@@ -66,9 +68,9 @@ def attribute_rows(output: DataFrame, scores: DataFrame, concept_catalog: DataFr
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """(patient_id, attribute, cell): of each the row with the latest start (null oldest), then the smallest row_id."""
+    """(patient_id, attribute, kind, cell): of each the row with the latest start (null oldest), then the smallest row_id."""
     rank = F.struct(F.coalesce(F.unix_micros(F.col("start_date_time").cast("timestamp")), F.lit(-(2**63))).alias("t"), (-F.col("row_id")).alias("r"))
-    return rows.groupBy("patient_id", "attribute").agg(F.max_by("cell", rank).alias("cell"))
+    return rows.groupBy("patient_id", "attribute", "kind").agg(F.max_by("cell", rank).alias("cell"))
 
 
 def attributes_of(rows: DataFrame, most: int = MOST_COLUMNS) -> list[Attribute]:
@@ -141,6 +143,7 @@ def cells_of(wide: DataFrame, attributes: Sequence[Attribute], entity: str = "pa
 
 def wide_patients(output: DataFrame, scores: DataFrame, concept_catalog: DataFrame) -> tuple[DataFrame, list[Attribute]]:
     """The wide table of all patients, and its attributes in the order of its columns."""
-    rows = attribute_rows(output, scores, concept_catalog)
-    attributes = attributes_of(rows)
-    return pivot_balanced(latest(rows), attributes), attributes
+    # stored once: the attributes are found in it, and the plan of each narrow table stays short
+    cells = cut(latest(attribute_rows(output, scores, concept_catalog)))
+    attributes = attributes_of(cells)
+    return pivot_balanced(cells, attributes), attributes

@@ -100,3 +100,29 @@ def test_store_and_rerun(spark, tmp_path):
     assert [(r.concept, r.rows_in, r.rows_out) for r in store.failure_report(small(spark), Abstraction(small(spark), kb())).collect()] == [("G", 3, 2)]
     store.append_first(run.scores(), scores, store.SCORE_KEY, ["end_date_time"])
     assert spark.read.parquet(scores).count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from intervallum.__main__ import main
+    from tests.test_knowledge import EVENT, STATE
+    from tests.test_knowledge import LOCAL, raw
+
+    kb_dir = tmp_path / "kb"
+    kb_dir.mkdir()
+    for i, text in enumerate((raw(), EVENT, STATE, LOCAL)):
+        (kb_dir / f"{i}.xml").write_text(text)
+    (tmp_path / "in.csv").write_text("PatientId,ConceptName,Start,End,Value\n1,G,2014-01-01 00:00:00,2014-01-01 00:00:01,50\n1,G,2014-01-01 05:00:00,2014-01-01 05:00:01,90\n2,G,2014-01-01 00:00:00,2014-01-01 00:00:01,90\n")
+    at = {k: str(tmp_path / k) for k in ("records", "outputs", "scores", "csv")}
+    main(["load", str(tmp_path / "in.csv"), "--to", at["records"]], spark)
+    common = ["--kb", str(kb_dir), "--records", at["records"], "--outputs", at["outputs"], "--scores", at["scores"]]
+    main(["run", *common], spark)
+    out = spark.read.parquet(at["outputs"])
+    assert sorted((r.patient_id, r.concept_name, r.value) for r in out.collect()) == [(1, "E", "Hypo"), (1, "L", "True"), (1, "S", "Low")]
+    assert spark.read.parquet(at["scores"]).count() == 1
+    main(["run", *common, "--only", "E", "--patients", "2"], spark)
+    main(["rerun", *common, "--changed", "E"], spark)
+    main(["stats", at["records"]], spark)
+    main(["coverage", "--kb", str(kb_dir), "--records", at["records"]], spark)
+    main(["export", at["outputs"], "--to", at["csv"]], spark)
+    main(["kb", str(kb_dir), "--json", str(tmp_path / "kb.json")], spark)
+    assert "recomputed: E L" in capsys.readouterr().out and KnowledgeBase.from_json((tmp_path / "kb.json").read_text()).get("S")
