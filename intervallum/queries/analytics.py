@@ -77,11 +77,12 @@ def windowed_qa_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """One row per visit and complication with a column per aspect."""
+    """One row per visit and complication with a column per aspect: every pattern of the catalogue by every compliance type of the scores."""
     labels = cut(_labels(spark, sf_dir))
-    names = [r.concept_name for r in table(spark, sf_dir, "concept_catalog").where("family = 'pattern'").orderBy("concept_name").collect()]
-    aspects = [f"{n}__{t}" for n in names[:4] for t in ("TimeConstraint", "ValueConstraint")]
-    by = stats.window_scores(labels, _scores(spark, sf_dir).where(F.col("pattern_name").isin(names[:4])))
+    names = [r[0] for r in table(spark, sf_dir, "concept_catalog").where("family = 'pattern'").select("concept_name").dropna().distinct().orderBy("concept_name").collect()]
+    types = [r[0] for r in _scores(spark, sf_dir).select("compliance_type").dropna().distinct().orderBy("compliance_type").collect()]
+    aspects = [f"{n}__{t}" for n in names for t in types]
+    by = stats.window_scores(labels, _scores(spark, sf_dir))
     return cut(stats.feature_table(labels, by, aspects)), aspects
 
 
