@@ -8,12 +8,15 @@ all miss it. Documents where two of them agree in offset (position in the docume
 candidates; there all postings of the item are chained, in order and close together, into exact phrases and near matches
 (single changed, added or dropped words). A document leaks an item if its passages, in the item's order, span at least
 `SHARE` of the item's words; opening instructions that several items share count only beside a passage of the item itself.
+Items share an opening if `STOCK_ITEMS` different texts of the whole table begin with it. One of more than `STOCK_WORDS` words
+is no instruction (a passage with several questions, say): an unbroken run of more words than that within it counts as well.
 
 Index and search are cut by documents, so no hot term is ever gathered in one task. Items are processed in blocks of `ITEMS`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from intervallum.tables import cut
 
-SHARE, GAP, LEAST_TERMS, LEAST_WORDS, ITEMS, STOCK_ITEMS = 1 / 3, 3, 4, 8, 20_000, 3
+SHARE, GAP, LEAST_TERMS, LEAST_WORDS, ITEMS, STOCK_ITEMS, STOCK_WORDS = 1 / 3, 3, 4, 8, 20_000, 3, 20
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _ESCAPE = re.compile(r"\\(?:[nrtbfv]|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2})|&(?:[a-zA-Z]{2,8}|#x?[0-9a-fA-F]{1,6});|\\|[­​-‏⁠﻿]")
 
@@ -81,18 +84,24 @@ class Lexicon(dict):
 
 
 class Items:
-    """One block of evaluation items: words, terms (word pairs), where each term stands, and the length of opening stock words."""
+    """One block of evaluation items: words, terms (word pairs), where each term stands, and the length of opening stock words.
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    `shared`: the openings that several items of the whole table share; counted in the block if not given.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], shared: set[str] | None = None):
         texts = [(i, words(t)) for i, t in rows]
+        if shared is None:
+            opening = Counter(o for o, _ in {(self._opening(t), tuple(words(t))) for _, t in rows})
+            shared = {o for o, n in opening.items() if n >= STOCK_ITEMS}
+        stock = [len(words(self._opening(t))) if self._opening(t) in shared else 0 for _, t in rows]
+        stock = [n for n, (_, w) in zip(stock, texts) if w]
         texts = [(i, w) for i, w in texts if w]
-        opening = Counter(self._opening(t) for _, t in rows)
-        stock = {i: len(words(self._opening(t))) if self._opening(t) and opening[self._opening(t)] >= STOCK_ITEMS else 0 for i, t in rows}
         self.vocabulary = sorted({w for _, ws in texts for w in ws})
         at = {w: k for k, w in enumerate(self.vocabulary)}
         self.ids = np.array([i for i, _ in texts], np.int64)
         self.length = np.array([len(w) for _, w in texts], np.int64)
-        self.stock = np.array([min(stock[i], len(w)) for i, w in texts], np.int64)
+        self.stock = np.array([n if n < len(w) else 0 for n, (_, w) in zip(stock, texts)], np.int64)  # an item that is all opening has none
         term, item, where = [], [], []
         for k, (_, ws) in enumerate(texts):
             v = np.array([at[w] for w in ws], np.int64)
@@ -119,7 +128,9 @@ class Items:
         item = self.item[order]
         rank = np.arange(len(item)) - np.searchsorted(item, item)
         keep = self.length - 1 - np.maximum(self.length // 6 - 2, 0)
-        out[order] = (rank < keep[item]) & (self.where[order] >= self.stock[item])
+        # places in stock words count where the opening is long, or the item has too little beside it for two anchors
+        first = np.where((self.stock > STOCK_WORDS) | (self.length - 1 - self.stock < 2), 0, self.stock)
+        out[order] = (rank < keep[item]) & (self.where[order] >= first[item])
         return out
 
 
@@ -210,6 +221,17 @@ def coverage(passages: list[tuple[int, int, int, int]], stock: int) -> tuple[int
     return max(((t, o) for t, o, _ in best), default=(0, 0))
 
 
+def exact_run(doc_at: np.ndarray, item_at: np.ndarray, stock: int) -> int:
+    """Words of the longest unbroken run within a shared opening of `stock` words; 0 unless there are more than `STOCK_WORDS`."""
+    inside = item_at + 2 <= stock
+    if stock <= STOCK_WORDS or not inside.any():
+        return 0
+    offset, q = np.unique(np.column_stack([doc_at[inside] - item_at[inside], item_at[inside]]), axis=0).T
+    new = np.r_[True, (np.diff(offset) != 0) | (np.diff(q) != 1)]
+    longest = int(np.bincount(np.cumsum(new) - 1).max()) + 1
+    return longest if longest > STOCK_WORDS else 0
+
+
 def _search_block(items: Items, anchor: np.ndarray, part: pd.DataFrame, share: float) -> pd.DataFrame:
     count = np.array([len(x) // 4 for x in part.positions])
     term = np.repeat(part.term.to_numpy(np.int64), count)
@@ -264,8 +286,10 @@ def _search_block(items: Items, anchor: np.ndarray, part: pd.DataFrame, share: f
             need = share * items.length[k]
             if len(np.unique(where[a:b])) * 2 + 2 < need / 2:
                 continue
-            total, own = coverage(chains(pos[row[a:b]], where[a:b]), int(items.stock[k]))
-            if total >= need and own >= need / 2:
+            stock = int(items.stock[k])
+            total, own = coverage(chains(pos[row[a:b]], where[a:b]), stock)
+            own += exact_run(pos[row[a:b]], where[a:b], stock)
+            if total >= need and own >= min(need / 2, items.length[k] - stock):
                 out.append((int(names[pair[a] // n]), int(items.ids[k])))
         group = end
     return pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
@@ -292,6 +316,17 @@ def search_index(index: DataFrame, items: Items, share: float = SHARE) -> DataFr
     return index.mapInPandas(run, "doc_id long, item_id long")
 
 
+def shared_openings(rows: DataFrame) -> set[str]:
+    """Openings of at least `STOCK_ITEMS` different texts (text; equal words make equal texts)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"opening": [Items._opening(t) for t in part.text], "body": [hashlib.md5(" ".join(words(t)).encode("utf-8", "replace")).hexdigest() for t in part.text]})
+
+    seen = rows.select("text").mapInPandas(run, "opening string, body string").where("opening <> ''").groupBy("opening").agg(F.countDistinct("body").alias("n"))
+    return {r.opening for r in seen.where(F.col("n") >= STOCK_ITEMS).select("opening").collect()}  # a third of the items at most
+
+
 def leaked(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id): one row per document and leaked item; see the module for the rule.
 
@@ -299,10 +334,11 @@ def leaked(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", tex
     are judged as one. Other columns of both tables are ignored. Items are read in blocks, each searched in all documents.
     """
     rows = eval_items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().orderBy("item_id")
+    shared = shared_openings(rows)
     parts, block = [], []
 
     def close() -> None:
-        items = Items(block)
+        items = Items(block, shared)
         if len(items.terms):
             parts.append(search_index(build_index(documents, items, key, text), items, share))
 

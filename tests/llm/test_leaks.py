@@ -55,6 +55,30 @@ def test_repeated_items_and_long_text(spark):
     assert found(spark, [(1, long_)], same) == {(1, 1), (1, 2)}
 
 
+def test_items_that_are_all_opening(spark):
+    """The same one-sentence item in three rows, and three short items under one instruction: verbatim copies are leaks."""
+    rng, _ = build()
+    filler = lambda: text(rng, 30)
+    whole = text(rng, 40) + "?"
+    items = {1: whole, 2: whole, 3: whole, 4: STOCK + " Yes", 5: STOCK + " No", 6: STOCK + " Maybe"}
+    docs = [(1, f"{filler()}. {whole} {filler()}"), (2, f"{filler()}. {STOCK} Yes {filler()}"), (3, f"{filler()}. {STOCK} {filler()}")]
+    assert found(spark, docs, items) == {(1, 1), (1, 2), (1, 3), (2, 4)}
+
+
+def test_long_shared_opening(spark, monkeypatch):
+    """A passage with several questions is a leak of each where it is copied exactly; blocks of items change nothing."""
+    rng, _ = build()
+    filler = lambda: text(rng, 30)
+    passage, questions = text(rng, 45) + ".", [text(rng, 15) + "?" for _ in range(4)]
+    items = {i + 1: f"{passage} {q}" for i, q in enumerate(questions)} | {i + 5: f"{STOCK} {text(rng, 12)}" for i in range(4)}
+    words = passage.split()
+    docs = [(1, f"{filler()} {passage} {filler()}"), (2, " ".join("changed" if k % 7 == 5 else w for k, w in enumerate(words))), (3, f"{filler()} {STOCK} {filler()}")]
+    expected = {(1, i) for i in range(1, 5)}
+    assert found(spark, docs, items) == expected
+    monkeypatch.setattr(leaks, "ITEMS", 2)
+    assert found(spark, docs, items) == expected
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed):
     """Every pair by comparing all words, without index or anchors."""
