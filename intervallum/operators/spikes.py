@@ -11,6 +11,7 @@ Ordinary scatter: the median absolute first difference over 0.954 (that of unit
 scatter of the concept with the weight of `PRIOR` readings, since the median of a handful of differences is worth little.
 
 A series of more than `SHARD_ROWS` rows is cut by time into shards that see the `HALO` instants before and after them.
+Medians and the number of readings of such a series are taken over the whole series first and given to its shards (`whole`).
 """
 
 from __future__ import annotations
@@ -57,19 +58,33 @@ def _shift(a: np.ndarray, group: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def phase_space_candidates(u: np.ndarray, group: np.ndarray, groups: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Readings outside the ellipsoids of their series, found iteratively."""
+def _differences(clean: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First, second and central difference of each reading, 0 at the ends of a series."""
+    before, after = _shift(clean, group, -1), _shift(clean, group, 1)
+    return np.nan_to_num(clean - before), np.nan_to_num(after - 2 * clean + before), np.nan_to_num((after - before) / 2)
+
+
+def _or_own(whole: np.ndarray | None, own: np.ndarray) -> np.ndarray:
+    """The figures of the whole series where they are given, else those of the group."""
+    return own if whole is None else np.where(np.isnan(whole), own, whole)
+
+
+def phase_space(u: np.ndarray, group: np.ndarray, groups: int, rounds: int = ROUNDS, size: np.ndarray | None = None, medians: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Readings with the outer ones replaced, and which lie outside the ellipsoids of their series, found iteratively.
+
+    `size` and `medians` (for each round: groups x (value, off it, first, second, central difference)): figures of whole
+    series, NaN where the group is one. Rounds past the last find nothing new in those series.
+    """
     clean, flagged = u.copy(), np.zeros(len(u), bool)
-    n = np.bincount(group, minlength=groups)
+    n = _or_own(size, np.bincount(group, minlength=groups))
     reach = np.sqrt(2 * np.log(np.maximum(n, 2)))[group]
-    for _ in range(rounds):
-        before, after = _shift(clean, group, -1), _shift(clean, group, 1)
-        du = np.nan_to_num((after - before) / 2)
-        step = np.nan_to_num(clean - before)
-        bend = np.nan_to_num(after - 2 * clean + before)
+    given = lambda r, k: medians[min(r, len(medians) - 1)][:, k] if medians else None
+    usual = _or_own(given(0, 0), _group_median(u, group, groups))[group]
+    for r in range(rounds):
+        step, bend, du = _differences(clean, group)
         axes = []
-        for a in (clean - _group_median(clean, group, groups)[group], step, bend, du):
-            scale = 1.4826 * _group_median(np.abs(a), group, groups)[group]
+        for k, a in enumerate((clean - _or_own(given(r, 0), _group_median(clean, group, groups))[group], step, bend, du)):
+            scale = 1.4826 * _or_own(given(r, k + 1), _group_median(np.abs(a), group, groups))[group]
             axes.append(a / np.maximum(scale, 1e-12 + 1e-9 * np.abs(clean)))
         value, first, second, central = axes
         outside = np.zeros(len(u), bool)
@@ -81,8 +96,13 @@ def phase_space_candidates(u: np.ndarray, group: np.ndarray, groups: int, rounds
         flagged |= new
         a, b = _shift(u, group, -1), _shift(u, group, 1)
         fill = np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2))
-        clean = np.where(flagged & ~np.isnan(fill), _group_median(u, group, groups)[group], clean)
-    return flagged
+        clean = np.where(flagged & ~np.isnan(fill), usual, clean)
+    return clean, flagged
+
+
+def phase_space_candidates(u: np.ndarray, group: np.ndarray, groups: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Readings outside the ellipsoids of their series, found iteratively."""
+    return phase_space(u, group, groups, rounds)[1]
 
 
 def excursion(u: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -100,10 +120,25 @@ def excursion(u: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.maximum(alone, np.maximum(np.nan_to_num(with_next), np.nan_to_num(with_last)))
 
 
-def judge(block: pd.DataFrame) -> pd.DataFrame:
+class Whole(dict):
+    """Series -> figures taken over all of it: n, scatter, and for each round the medians that `phase_space` takes."""
+
+    def arrays(self, block: pd.DataFrame, first: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None, list[np.ndarray]]:
+        """n, scatter and medians of the groups that begin at rows `first`; NaN for other series."""
+        if not self:
+            return None, None, []
+        rounds = max(len(x["medians"]) for x in self.values())
+        none = {"n": np.nan, "scatter": np.nan, "medians": [(np.nan,) * 5] * rounds}
+        own = [self.get(key, none) for key in block.iloc[first][SERIES].itertuples(index=False, name=None)]
+        return np.array([x["n"] for x in own], float), np.array([x["scatter"] for x in own], float), [np.array([x["medians"][r] for x in own], float).reshape(-1, 5) for r in range(rounds)]
+
+
+def judge(block: pd.DataFrame, whole: Whole | None = None, rounds: int | None = None) -> pd.DataFrame:
     """Candidates and statistics of whole series; `block` is sorted by patient_id, concept_key, source_key, shard, t, row_id.
 
-    Out: row_id (null: a statistics row), kind, the series, n, scatter, centre, away (excursion).
+    Out: row_id (null: a statistics row), kind, the series, n, scatter, centre, away (excursion). With `rounds`, instead the
+    readings after so many rounds: the series, value, first, second, central (absolute differences), plain (first difference as
+    read, null in runs), flagged.
     """
     new = np.r_[True, _changes(block)] if len(block) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
@@ -136,13 +171,21 @@ def judge(block: pd.DataFrame) -> pd.DataFrame:
     rep, rg = chosen[keep], g[keep]
     u = y[rep]
     still = (length >= STUCK_RUN)[keep]
-    flagged = phase_space_candidates(u, rg, groups)
-    away = excursion(u, rg)
+    size, whole_scatter, medians = (whole or Whole()).arrays(block, np.flatnonzero(new))
     step = u - _shift(u, rg, -1)
     step[still] = np.nan
-    scatter = _group_median(np.abs(step), rg, groups) / 0.954
-    centre = np.abs(_group_median(u, rg, groups))
-    n = np.bincount(rg, minlength=groups)
+    if rounds is not None:
+        clean, flagged = phase_space(u, rg, groups, rounds, size, medians)
+        one, two, central = _differences(clean, rg)
+        out = block.iloc[rep][SERIES].reset_index(drop=True)
+        out["value"], out["first"], out["second"], out["central"] = clean, np.abs(one), np.abs(two), np.abs(central)
+        out["plain"], out["flagged"] = np.abs(step), flagged
+        return out[~halo[rep]]
+    flagged = phase_space(u, rg, groups, ROUNDS, size, medians)[1]
+    away = excursion(u, rg)
+    scatter = _or_own(whole_scatter, _group_median(np.abs(step), rg, groups) / 0.954)
+    centre = np.abs(_or_own(medians[0][:, 0] if medians else None, _group_median(u, rg, groups)))
+    n = _or_own(size, np.bincount(rg, minlength=groups)).astype(int)
     # other readings at the instant of a candidate are judged in its place
     spot = np.full(len(first), -1)
     spot[np.flatnonzero(keep)] = np.arange(len(rep))
@@ -182,34 +225,35 @@ def _changes(block: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Arrow batches joined to blocks that end where a series ends."""
+def _blocks(batches: Iterator[pd.DataFrame], whole: Whole | None = None, rounds: int | None = None) -> Iterator[pd.DataFrame]:
+    """Arrow batches joined to blocks that end where a series ends, judged."""
     held: list[pd.DataFrame] = []
     rows = 0
     for part in batches:
         held.append(part)
         rows += len(part)
         if rows >= BLOCK:
-            whole = pd.concat(held, ignore_index=True)
-            change = np.flatnonzero(_changes(whole))
+            joined = pd.concat(held, ignore_index=True)
+            change = np.flatnonzero(_changes(joined))
             if len(change):
                 end = int(change[-1]) + 1
-                yield judge(whole.iloc[:end])
-                held, rows = [whole.iloc[end:]], len(whole) - end
+                yield judge(joined.iloc[:end], whole, rounds)
+                held, rows = [joined.iloc[end:]], len(joined) - end
             else:
-                held = [whole]
-    whole = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
-    if len(whole):
-        yield judge(whole)
+                held = [joined]
+    joined = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+    if len(joined):
+        yield judge(joined, whole, rounds)
 
 
-def sharded(rows: DataFrame, shard_rows: int = SHARD_ROWS, halo: int = HALO) -> DataFrame:
-    """`rows` with shard and halo (the row only gives context there). Only series over `shard_rows` rows have several shards."""
+def sharded(rows: DataFrame, shard_rows: int = SHARD_ROWS, halo: int = HALO) -> tuple[DataFrame, DataFrame | None]:
+    """`rows` with shard and halo (the row only gives context there), and those of them in series over `shard_rows` rows (None if
+    there are none), which alone have several shards."""
     plain = rows.withColumn("shard", F.lit(0)).withColumn("halo", F.lit(False))
     size = rows.groupBy(*SERIES).agg(F.count("*").alias("_rows")).where(F.col("_rows") > shard_rows)
     hot = cut(size)
     if hot.isEmpty():
-        return plain
+        return plain, None
     parts = F.ceil(F.col("_rows") / shard_rows).cast("int")
     mine = rows.join(hot, SERIES)
     cuts = cut(
@@ -223,7 +267,28 @@ def sharded(rows: DataFrame, shard_rows: int = SHARD_ROWS, halo: int = HALO) ->
     core = edge.withColumn("_to", F.array_compact(F.array(F.lit(0), F.when(F.col("_a") <= halo, F.lit(-1)), F.when(F.col("_b") <= halo, F.lit(1)))))
     copies = core.select("*", F.explode("_to").alias("_move")).withColumn("shard", F.col("shard") + F.col("_move")).withColumn("halo", F.col("_move") != 0)
     cold = plain.join(hot.select(*SERIES), SERIES, "left_anti")
-    return cold.unionByName(copies.select(*cold.columns))
+    copies = cut(copies.select(*cold.columns))
+    return cold.unionByName(copies), copies
+
+
+def whole_series(hot: DataFrame) -> Whole:
+    """Figures of the series in `hot` (all their shards, sorted) over all of each: exact medians, gathered round by round."""
+    whole, flagged = Whole(), -1
+    schema = "patient_id long, concept_key long, source_key long, value double, first double, second double, central double, plain double, flagged boolean"
+    middle = lambda c: F.percentile(F.nanvl(c, F.lit(None).cast("double")), 0.5)
+    for r in range(ROUNDS):
+        read = cut(hot.mapInPandas(lambda batches, r=r: _blocks(batches, whole, r), schema))
+        got = read.groupBy(*SERIES).agg(F.count("*").alias("n"), F.sum(F.col("flagged").cast("long")).alias("flagged"), middle(F.col("plain")).alias("plain"), *[middle(F.col(c)).alias(c) for c in ("value", "first", "second", "central")])
+        got = cut(got)
+        off = read.join(F.broadcast(got.select(*SERIES, F.col("value").alias("_centre"))), SERIES).groupBy(*SERIES).agg(middle(F.abs(F.col("value") - F.col("_centre"))).alias("off"))
+        now = got.join(off, SERIES).collect()  # as many rows as there are series over `SHARD_ROWS` rows
+        if sum(x.flagged for x in now) == flagged:
+            break
+        flagged = sum(x.flagged for x in now)
+        for x in now:
+            own = whole.setdefault(tuple(x[c] for c in SERIES), {"n": x.n, "scatter": np.nan if x.plain is None else x.plain / 0.954, "medians": []})
+            own["medians"].append((x.value, x.off, x.first, x.second, x.central))
+    return whole
 
 
 def implausible(harmonised: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -248,10 +313,12 @@ def implausible(harmonised: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFram
     timed = F.col("t").isNotNull() & F.col("patient_id").isNotNull() & F.col("row_id").isNotNull()
     lone = rows.where(~timed & ~F.col("possible")).select("row_id", F.lit("impossible").alias("kind"))
     order = [*SERIES, "shard", "t", "row_id"]
-    placed = sharded(rows.where(timed), shard_rows).repartition(*SERIES, "shard").sortWithinPartitions(*order)
+    ordered = lambda df: df.repartition(*SERIES, "shard").sortWithinPartitions(*order)
+    placed, hot = sharded(rows.where(timed), shard_rows)
+    whole = whole_series(cut(ordered(hot))) if hot is not None else None
     schema = "patient_id long, concept_key long, source_key long, row_id long, kind string, n long, scatter double, centre double, away double"
-    found = cut(placed.mapInPandas(_blocks, schema))
-    series = found.where("row_id is null").groupBy(*SERIES).agg(F.sum("n").alias("n"), (F.sum(F.col("scatter") * F.col("n")) / F.sum(F.when(F.col("scatter").isNotNull(), F.col("n")))).alias("scatter"), (F.sum(F.col("centre") * F.col("n")) / F.sum("n")).alias("centre"))
+    found = cut(ordered(placed).mapInPandas(lambda batches: _blocks(batches, whole), schema))
+    series = found.where("row_id is null").groupBy(*SERIES).agg(*[F.max(c).alias(c) for c in ("n", "scatter", "centre")])  # shards of a series say the same
     usual = series.where("n >= 10 and centre > 0").groupBy("concept_key").agg(F.percentile_approx(F.col("scatter") / F.col("centre"), 0.5, 10_000).alias("usual"))
     flagged = found.where("row_id is not null")
     spikes = flagged.where("kind = 'spike'").select(*SERIES, "row_id", "away").join(series, SERIES).join(usual, "concept_key", "left")

@@ -98,3 +98,14 @@ def test_against_brute_force_and_shards(spark):
     assert "spike" in expected.values() and "stuck" in expected.values()
     assert kinds(spark, df) == expected
     assert kinds(spark, df, shard_rows=20) == expected
+
+
+def test_shards_of_different_scatter(spark):
+    """A noisy period of a long series hides no spikes of its quiet ones, and judges its own by the whole series."""
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.normal(500, 1, 80), rng.normal(500, 60, 70), rng.normal(500, 1, 80)]), 2)
+    x[[20, 50, 180, 210]] = 530, 472, 525, 474
+    df = frame(spark, {(1, "A", "s"): list(enumerate(x)), (2, "A", "s"): noise(5, 60)})
+    expected = kinds(spark, df)
+    assert {21, 51, 181, 211} <= set(expected)
+    assert kinds(spark, df, shard_rows=70) == expected
