@@ -171,7 +171,7 @@ def logistic_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.sign_stability(_cohort(spark, sf_dir), "complication", "y", ["n_lines", "quantity", "discount"], resamples=10)
+    return stats.sign_stability(_cohort(spark, sf_dir), "complication", "y", ["n_lines", "quantity", "discount"])
 
 
 def iptw_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Analytics queries against SQL over all their input."""
 
+import inspect
+
+from intervallum.functions import stats
 from intervallum.queries import analytics
 from intervallum.queries.rounding import six_sql
 from tests.oracle import compare, connection
@@ -18,3 +21,11 @@ def test_feature_table_has_every_aspect(spark, sf_dir):
     got = analytics._features(spark, sf_dir)[1]
     expected = connection(sf_dir).execute("select distinct concept_name || '__' || compliance_type from concept_catalog, patient_qa_scores where family = 'pattern' and compliance_type is not null").fetchall()
     assert sorted(got) == sorted(x for (x,) in expected)
+
+
+def test_bootstrap_signs_takes_the_operators_resamples(spark, sf_dir, monkeypatch):
+    signature, calls = inspect.signature(stats.sign_stability), []
+    monkeypatch.setattr(stats, "sign_stability", lambda *args, **kw: calls.append(signature.bind(*args, **kw)))
+    analytics.bootstrap_signs(spark, sf_dir)
+    calls[0].apply_defaults()
+    assert calls[0].arguments["resamples"] == 50
