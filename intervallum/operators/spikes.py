@@ -2,16 +2,19 @@
 
 One shuffle brings each series together, sorted by time; numpy then works on whole blocks of series at once. Phase-space
 thresholding: with robust scales (median absolute deviations) of the value u, its first difference and its second difference,
-readings outside the ellipsoid of the universal threshold sqrt(2 ln n) in any of the three phase planes are candidates; they
-are replaced by the median of their neighbours and the rest is judged again, until nothing is new. An exact check follows:
+readings outside the ellipse of the universal threshold sqrt(2 ln n) in any of the phase planes are candidates (the ellipse of
+value and second difference is turned by their correlation); they are replaced by the middle of the nearest readings before
+and after that are not flagged, and the rest is judged again, until nothing is new. An exact check follows:
 a candidate is a spike if it, alone or with one neighbour, lies more than `SPIKE_AT` times the series' ordinary scatter from
 the readings before and after. Runs of zero difference are `stuck`, readings out of bounds `impossible`.
 
 Ordinary scatter: the median absolute first difference over 0.954 (that of unit noise), drawn towards the usual relative
 scatter of the concept with the weight of `PRIOR` readings, since the median of a handful of differences is worth little.
 
-A series of more than `SHARD_ROWS` rows is cut by time into shards that see the `HALO` instants before and after them.
-Medians and the number of readings of such a series are taken over the whole series first and given to its shards (`whole`).
+A series of more than `SHARD_ROWS` rows is cut by the rank of its instants into shards that see the `HALO` instants before
+and after them; medians, correlation and number of readings are taken over the whole series first, round by round, and given
+to its shards (`whole`; one entry for each such series). A round looks `LOOK` + 1 instants far, so shards flag as the whole
+series would for HALO / (LOOK + 1) rounds of changes that move on from instant to instant. All rows of one instant lie in one shard.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql.window import Window as W
 
 from intervallum.tables import cut
 
-SPIKE_AT, STUCK_RUN, PRIOR, ROUNDS = 8.0, 6, 12, 5
-SHARD_ROWS, HALO, BLOCK = 200_000, 6, 250_000
+SPIKE_AT, STUCK_RUN, PRIOR, LOOK = 8.0, 6, 12, 3
+SHARD_ROWS, HALO, BLOCK = 200_000, 64, 250_000
 SERIES = ["patient_id", "concept_key", "source_key"]
 
 
@@ -69,40 +72,62 @@ def _or_own(whole: np.ndarray | None, own: np.ndarray) -> np.ndarray:
     return own if whole is None else np.where(np.isnan(whole), own, whole)
 
 
-def phase_space(u: np.ndarray, group: np.ndarray, groups: int, rounds: int = ROUNDS, size: np.ndarray | None = None, medians: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Readings with the outer ones replaced, and which lie outside the ellipsoids of their series, found iteratively.
+def _nearest_clean(u: np.ndarray, group: np.ndarray, flagged: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For flagged readings the middle of the nearest ones before and after, at most `LOOK` away, that are not; `other` if there is none."""
+    sides = []
+    for way in (-1, 1):
+        found = np.full(len(u), np.nan)
+        for k in range(LOOK, 0, -1):
+            near, ok = _shift(u, group, way * k), _shift((~flagged).astype(float), group, way * k) == 1
+            found = np.where(ok, near, found)
+        sides.append(found)
+    a, b = sides
+    fill = np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2))
+    return np.where(np.isnan(fill), other, fill)
 
-    `size` and `medians` (for each round: groups x (value, off it, first, second, central difference)): figures of whole
-    series, NaN where the group is one. Rounds past the last find nothing new in those series.
+
+def _correlation(a: np.ndarray, b: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Of each group, about zero."""
+    total = lambda x: np.bincount(group, x, groups)
+    return total(a * b) / np.maximum(np.sqrt(total(a * a) * total(b * b)), 1e-300)
+
+
+def phase_space(u: np.ndarray, group: np.ndarray, groups: int, rounds: int | None = None, size: np.ndarray | None = None, medians: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Readings with the outer ones replaced, and which lie outside the ellipses of their series, found until nothing is new (or for `rounds`).
+
+    `size` and `medians` (for each round: groups x (value, off it, first, second, central difference, correlation)): figures of
+    whole series, NaN where the group is one. Rounds past the last find nothing new in those series.
     """
     clean, flagged = u.copy(), np.zeros(len(u), bool)
     n = _or_own(size, np.bincount(group, minlength=groups))
     reach = np.sqrt(2 * np.log(np.maximum(n, 2)))[group]
     given = lambda r, k: medians[min(r, len(medians) - 1)][:, k] if medians else None
     usual = _or_own(given(0, 0), _group_median(u, group, groups))[group]
-    for r in range(rounds):
+    r = 0
+    while rounds is None or r < rounds:
         step, bend, du = _differences(clean, group)
+        off = clean - _or_own(given(r, 0), _group_median(clean, group, groups))[group]
         axes = []
-        for k, a in enumerate((clean - _or_own(given(r, 0), _group_median(clean, group, groups))[group], step, bend, du)):
+        for k, a in enumerate((off, step, bend, du)):
             scale = 1.4826 * _or_own(given(r, k + 1), _group_median(np.abs(a), group, groups))[group]
             axes.append(a / np.maximum(scale, 1e-12 + 1e-9 * np.abs(clean)))
         value, first, second, central = axes
-        outside = np.zeros(len(u), bool)
-        for a, b in ((value, first), (first, second), (value, second), (value, central)):
+        turn = np.clip(_or_own(given(r, 5), _correlation(off, bend, group, groups)), -0.95, 0.95)[group]
+        outside = value**2 - 2 * turn * value * second + second**2 > (1 - turn**2) * reach**2
+        for a, b in ((value, first), (first, second), (value, central)):
             outside |= a**2 + b**2 > reach**2
         new = outside & ~flagged
         if not new.any():
             break
         flagged |= new
-        a, b = _shift(u, group, -1), _shift(u, group, 1)
-        fill = np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2))
-        clean = np.where(flagged & ~np.isnan(fill), usual, clean)
+        clean = np.where(flagged, _nearest_clean(u, group, flagged, usual), u)
+        r += 1
     return clean, flagged
 
 
-def phase_space_candidates(u: np.ndarray, group: np.ndarray, groups: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Readings outside the ellipsoids of their series, found iteratively."""
-    return phase_space(u, group, groups, rounds)[1]
+def phase_space_candidates(u: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Readings outside the ellipses of their series, found iteratively."""
+    return phase_space(u, group, groups)[1]
 
 
 def excursion(u: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -128,16 +153,16 @@ class Whole(dict):
         if not self:
             return None, None, []
         rounds = max(len(x["medians"]) for x in self.values())
-        none = {"n": np.nan, "scatter": np.nan, "medians": [(np.nan,) * 5] * rounds}
+        none = {"n": np.nan, "scatter": np.nan, "medians": [(np.nan,) * 6] * rounds}
         own = [self.get(key, none) for key in block.iloc[first][SERIES].itertuples(index=False, name=None)]
-        return np.array([x["n"] for x in own], float), np.array([x["scatter"] for x in own], float), [np.array([x["medians"][r] for x in own], float).reshape(-1, 5) for r in range(rounds)]
+        return np.array([x["n"] for x in own], float), np.array([x["scatter"] for x in own], float), [np.array([x["medians"][r] for x in own], float).reshape(-1, 6) for r in range(rounds)]
 
 
 def judge(block: pd.DataFrame, whole: Whole | None = None, rounds: int | None = None) -> pd.DataFrame:
     """Candidates and statistics of whole series; `block` is sorted by patient_id, concept_key, source_key, shard, t, row_id.
 
     Out: row_id (null: a statistics row), kind, the series, n, scatter, centre, away (excursion). With `rounds`, instead the
-    readings after so many rounds: the series, value, first, second, central (absolute differences), plain (first difference as
+    readings after so many rounds: the series, value, first, second, central (differences), plain (absolute first difference as
     read, null in runs), flagged.
     """
     new = np.r_[True, _changes(block)] if len(block) else np.zeros(0, bool)
@@ -178,10 +203,10 @@ def judge(block: pd.DataFrame, whole: Whole | None = None, rounds: int | None =
         clean, flagged = phase_space(u, rg, groups, rounds, size, medians)
         one, two, central = _differences(clean, rg)
         out = block.iloc[rep][SERIES].reset_index(drop=True)
-        out["value"], out["first"], out["second"], out["central"] = clean, np.abs(one), np.abs(two), np.abs(central)
+        out["value"], out["first"], out["second"], out["central"] = clean, one, two, central
         out["plain"], out["flagged"] = np.abs(step), flagged
         return out[~halo[rep]]
-    flagged = phase_space(u, rg, groups, ROUNDS, size, medians)[1]
+    flagged = phase_space(u, rg, groups, None, size, medians)[1]
     away = excursion(u, rg)
     scatter = _or_own(whole_scatter, _group_median(np.abs(step), rg, groups) / 0.954)
     centre = np.abs(_or_own(medians[0][:, 0] if medians else None, _group_median(u, rg, groups)))
@@ -248,46 +273,44 @@ def _blocks(batches: Iterator[pd.DataFrame], whole: Whole | None = None, rounds:
 
 def sharded(rows: DataFrame, shard_rows: int = SHARD_ROWS, halo: int = HALO) -> tuple[DataFrame, DataFrame | None]:
     """`rows` with shard and halo (the row only gives context there), and those of them in series over `shard_rows` rows (None if
-    there are none), which alone have several shards."""
-    plain = rows.withColumn("shard", F.lit(0)).withColumn("halo", F.lit(False))
-    size = rows.groupBy(*SERIES).agg(F.count("*").alias("_rows")).where(F.col("_rows") > shard_rows)
-    hot = cut(size)
+    there are none), which alone have several shards: by the rank of their instant, found from counts of coarse time slices."""
+    plain = rows.withColumn("shard", F.lit(0).cast("long")).withColumn("halo", F.lit(False))
+    hot = cut(rows.groupBy(*SERIES).agg(F.count("*").alias("_rows")).where(F.col("_rows") > shard_rows))
     if hot.isEmpty():
         return plain, None
-    parts = F.ceil(F.col("_rows") / shard_rows).cast("int")
-    mine = rows.join(hot, SERIES)
-    cuts = cut(
-        mine.groupBy(*SERIES, parts.alias("_parts"))
-        .agg(F.percentile_approx("t", [k / 1024 for k in range(1, 1024)], 10_000).alias("_q"))
-        .select(*SERIES, F.array_distinct(F.expr("transform(sequence(1, least(_parts, 1024) - 1), k -> _q[cast(k * 1024 / least(_parts, 1024) as int) - 1])")).alias("_cuts"))
-    )
-    placed = rows.join(cuts, SERIES).withColumn("shard", F.expr("size(filter(_cuts, c -> c <= t))")).drop("_cuts")
-    w = W.partitionBy(*SERIES, "shard")
-    edge = placed.withColumn("_a", F.dense_rank().over(w.orderBy("t"))).withColumn("_b", F.dense_rank().over(w.orderBy(F.col("t").desc())))
-    core = edge.withColumn("_to", F.array_compact(F.array(F.lit(0), F.when(F.col("_a") <= halo, F.lit(-1)), F.when(F.col("_b") <= halo, F.lit(1)))))
-    copies = core.select("*", F.explode("_to").alias("_move")).withColumn("shard", F.col("shard") + F.col("_move")).withColumn("halo", F.col("_move") != 0)
+    mine = rows.join(hot.select(*SERIES), SERIES)
+    cuts = mine.groupBy(*SERIES).agg(F.array_distinct(F.percentile_approx("t", [k / 1024 for k in range(1, 1024)], 10_000)).alias("_cuts"))
+    sliced = mine.join(cuts, SERIES).withColumn("_slice", F.expr("size(filter(_cuts, c -> c <= t))")).drop("_cuts")
+    counts = sliced.groupBy(*SERIES, "_slice").agg(F.countDistinct("t").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*SERIES).orderBy("_slice")) - F.col("_n")).drop("_n")  # 1,024 slices a series at most
+    ranked = sliced.withColumn("_at", F.dense_rank().over(W.partitionBy(*SERIES, "_slice").orderBy("t"))).join(before, [*SERIES, "_slice"])
+    at = F.col("_before") + F.col("_at") - 1
+    home = lambda c: F.floor(c / F.lit(shard_rows)).cast("long")
+    copies = ranked.withColumn("_home", home(at)).withColumn("shard", F.explode(F.sequence(F.greatest(home(at - halo), F.lit(0).cast("long")), home(at + halo))))
     cold = plain.join(hot.select(*SERIES), SERIES, "left_anti")
-    copies = cut(copies.select(*cold.columns))
+    copies = cut(copies.withColumn("halo", F.col("shard") != F.col("_home")).select(*cold.columns))
     return cold.unionByName(copies), copies
 
 
 def whole_series(hot: DataFrame) -> Whole:
-    """Figures of the series in `hot` (all their shards, sorted) over all of each: exact medians, gathered round by round."""
-    whole, flagged = Whole(), -1
+    """Figures of the series in `hot` (all their shards, sorted) over all of each: exact medians, gathered round by round until no reading is new."""
+    whole, flagged, r = Whole(), -1, 0
     schema = "patient_id long, concept_key long, source_key long, value double, first double, second double, central double, plain double, flagged boolean"
     middle = lambda c: F.percentile(F.nanvl(c, F.lit(None).cast("double")), 0.5)
-    for r in range(ROUNDS):
+    while True:
         read = cut(hot.mapInPandas(lambda batches, r=r: _blocks(batches, whole, r), schema))
-        got = read.groupBy(*SERIES).agg(F.count("*").alias("n"), F.sum(F.col("flagged").cast("long")).alias("flagged"), middle(F.col("plain")).alias("plain"), *[middle(F.col(c)).alias(c) for c in ("value", "first", "second", "central")])
+        got = read.groupBy(*SERIES).agg(F.count("*").alias("n"), F.sum(F.col("flagged").cast("long")).alias("flagged"), middle(F.col("plain")).alias("plain"), middle(F.col("value")).alias("value"), *[middle(F.abs(c)).alias(c) for c in ("first", "second", "central")])
         got = cut(got)
-        off = read.join(F.broadcast(got.select(*SERIES, F.col("value").alias("_centre"))), SERIES).groupBy(*SERIES).agg(middle(F.abs(F.col("value") - F.col("_centre"))).alias("off"))
-        now = got.join(off, SERIES).collect()  # as many rows as there are series over `SHARD_ROWS` rows
+        off = F.col("value") - F.col("_centre")
+        turn = F.sum(off * F.col("second")) / F.greatest(F.sqrt(F.sum(off * off) * F.sum(F.col("second") * F.col("second"))), F.lit(1e-300))
+        about = read.join(got.select(*SERIES, F.col("value").alias("_centre")), SERIES).groupBy(*SERIES).agg(middle(F.abs(off)).alias("off"), turn.alias("turn"))
+        now = got.join(about, SERIES).collect()  # as many rows as there are series over `SHARD_ROWS` rows
         if sum(x.flagged for x in now) == flagged:
             break
-        flagged = sum(x.flagged for x in now)
+        flagged, r = sum(x.flagged for x in now), r + 1
         for x in now:
             own = whole.setdefault(tuple(x[c] for c in SERIES), {"n": x.n, "scatter": np.nan if x.plain is None else x.plain / 0.954, "medians": []})
-            own["medians"].append((x.value, x.off, x.first, x.second, x.central))
+            own["medians"].append((x.value, x.off, x.first, x.second, x.central, x.turn))
     return whole
 
 
@@ -295,11 +318,12 @@ def implausible(harmonised: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFram
     """(row_id, kind) of implausible readings; `harmonised`: units.harmonise() with row_id, patient_id, start_date_time.
 
     Rows without a start_date_time or patient lie in no series: only `impossible` can be said of them. Equal rows are judged
-    each. A reading equal to its neighbours in another unit counts as the same within the rounding of both.
+    each. A reading equal to its neighbours in another unit counts as the same within the rounding of both. Rows whose unit is
+    unknown have no reading (y is null) and are in no series.
     """
     y = F.col("y")
     possible = F.coalesce(y >= F.col("min_possible"), F.lit(True)) & F.coalesce(y <= F.col("max_possible"), F.lit(True))
-    rows = harmonised.select(
+    rows = harmonised.where("y is not null").select(
         "row_id",
         "patient_id",
         F.xxhash64("concept_name").alias("concept_key"),

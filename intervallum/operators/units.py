@@ -1,12 +1,14 @@
 """Problem 3: one measured quantity, many units. Every readable value comes out in the common unit of its concept.
 
-1. `readings` reads the number and the unit that a row names (within value, else in unit) on the JVM.
+1. `readings` reads the number and the unit that a row names (within value, else in unit) on the JVM; they are stored once.
 2. Rows that name no unit get one from a calibrated tree ensemble. It sees magnitude, source, category (concept) and
    neighbouring fields (decimals written, the level of the rows of the same source and kind). Its training rows are a
-   histogram of ALL rows: (concept, source, named unit, magnitude bin, decimals) with counts, so the shuffle is tiny and
-   no row is left out; only the number of histogram cells used for fitting is bounded (`FIT_CELLS`).
+   histogram of ALL rows: (concept, source, named unit, magnitude bin, decimals) with counts, so the shuffle is tiny. Fitting
+   takes at most `FIT_CELLS` cells of each (concept, unit), chosen by hash with their counts as weights, so no unit and no
+   concept falls out of training. A unit that nobody names is trained on the cells of the named ones, converted to it.
 3. The calibrated probabilities of all unnamed rows of a (source, concept) are averaged: a source uses one unit for a
-   concept whenever it names none. Averages under `CONFIDENT` go to review and are not converted.
+   concept whenever it names none. Averages under `CONFIDENT` go to review and are not converted; so do the unnamed rows of
+   a concept of which no row names a unit (probability null), and rows that name a unit that the concept doesn't have.
 
 Units with the same factor and shift (mmol/L and mEq/L of sodium) can't be told apart by any number; an unnamed row of such
 a class counts as recorded in the common unit if that is in the class.
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from intervallum.tables import cut
+from intervallum.tables import cut, store
 
 #: Spellings that equal a unit code after lower case, no blanks, "per" as "/" and micro as "u".
 EQUAL_UNITS = {
@@ -45,9 +47,11 @@ EQUAL_UNITS = {
     "lb": ("lbs", "pounds", "pound"),
     "meq/l": ("meq/liter", "meq/litre"),
 }
+#: Texts in `unit` that name no unit (as unit keys).
+NO_UNIT = ("", "seevalue", "n/a", "na", "none", "null", "unknown", "-", "?")
 NUMBER_TEXT = r"^\s*([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+(?![\d^*/]))?)\s*(.*?)\s*$"
-#: Width of a magnitude bin (decades), cells used for fitting, trees, depth, and the mean probability from which a unit is taken.
-BIN, FIT_CELLS, TREES, DEPTH, CONFIDENT = 0.02, 60_000, 24, 5, 0.8
+#: Width of a magnitude bin (decades), cells of each (concept, unit) used for fitting, trees, depth, and the mean probability from which a unit is taken.
+BIN, FIT_CELLS, TREES, DEPTH, CONFIDENT = 0.02, 2_500, 24, 5, 0.8
 #: The table of inferred units is broadcast up to so many rows (a few MB), else joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -79,9 +83,10 @@ def spellings(unit_catalog: DataFrame) -> DataFrame:
 
 
 def readings(rows: DataFrame, spelled: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, concept_name, source_id, x (the number as written, null if none), decimals, unit_code (null if none is named), factor, shift.
+    """`keep`, concept_name, source_id, x (the number as written, null if none), decimals, unit_code (null if none is named), factor, shift, unknown.
 
-    A number followed by a text that is no unit of the concept is not readable: x is null. Nulls stay nulls.
+    unknown: the row names a unit that its concept doesn't have, within value or else in unit; its number can't be converted.
+    A unit text of `NO_UNIT` names none. Nulls stay nulls.
     """
     number, rest = F.regexp_extract("value", NUMBER_TEXT, 1), F.regexp_extract("value", NUMBER_TEXT, 2)
     named = rows.select(
@@ -93,10 +98,10 @@ def readings(rows: DataFrame, spelled: DataFrame, keep: list[str]) -> DataFrame:
         unit_key(F.col("unit")).alias("_unit"),
     )
     small = spelled.select(F.col("concept_name").alias("_concept"), F.col("unit_key").alias("_key"), "unit_code", "factor", "shift")
-    key = F.when(F.col("_rest") != "", F.col("_rest")).otherwise(F.col("_unit"))
-    found = named.join(F.broadcast(small), (F.col("concept_name") == F.col("_concept")) & (key == F.col("_key")), "left")
-    readable = (F.coalesce(F.col("_rest"), F.lit("")) == "") | F.col("_key").isNotNull()
-    return found.withColumn("x", F.when(readable & (F.abs("_x") < float("inf")), F.col("_x"))).drop("_x", "_rest", "_unit", "_concept", "_key")
+    text = F.when(F.col("_rest") != "", F.col("_rest")).otherwise(F.col("_unit"))
+    found = named.withColumn("_text", F.when(~text.isin(*NO_UNIT), text)).join(F.broadcast(small), (F.col("concept_name") == F.col("_concept")) & (F.col("_text") == F.col("_key")), "left")
+    x = F.when(F.abs("_x") < float("inf"), F.col("_x"))
+    return found.withColumn("x", x).withColumn("unknown", F.col("_text").isNotNull() & F.col("_key").isNull()).drop("_x", "_rest", "_unit", "_text", "_concept", "_key")
 
 
 # --- the tree ensemble -----------------------------------------------------------------------------------------------
@@ -185,13 +190,28 @@ class Forest:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_forests(cells: pd.DataFrame, classes: dict[str, list[str]]) -> dict[str, Forest]:
-    """A calibrated forest for each concept from cells (concept_name, source_id, unit_code, level, magnitude, decimals, n)."""
+def _converted(magnitude: pd.Series, a: tuple[float, float], b: tuple[float, float]) -> np.ndarray:
+    """Magnitudes (decades) of readings in unit `a` (factor, shift), as they were in unit `b`."""
+    y = 10.0 ** magnitude.to_numpy(float) * a[0] + a[1]
+    return np.log10(np.maximum(np.abs((y - b[1]) / b[0]), 1e-9))
+
+
+def fit_forests(cells: pd.DataFrame, classes: dict[str, dict[str, tuple[float, float]]]) -> dict[str, Forest]:
+    """A calibrated forest for each concept with a named unit, from cells (concept_name, source_id, unit_code, level, magnitude, decimals, n).
+
+    A class that no cell names gets the cells of the named ones, converted. A concept with one class needs no forest.
+    """
     forests = {}
-    for concept, units in classes.items():
+    for concept, factors in classes.items():
+        units = list(factors)
         own = cells[(cells.concept_name == concept) & cells.unit_code.isin(units)]
-        if len(units) < 2 or own.unit_code.nunique() < 2:
+        if len(units) < 2 or not len(own):
             continue
+        made = [
+            own[own.unit_code == a].assign(unit_code=b, magnitude=lambda d, a=a, b=b: _converted(d.magnitude, factors[a], factors[b]), level=lambda d, a=a, b=b: _converted(d.level, factors[a], factors[b]))
+            for b in units if b not in set(own.unit_code) for a in own.unit_code.unique()
+        ]
+        own = pd.concat([own, *made], ignore_index=True)
         x, w = own[["magnitude", "level", "decimals"]].to_numpy(float), own.n.to_numpy(float)
         y = own.unit_code.map({u: i for i, u in enumerate(units)}).to_numpy(int)
         w = w / np.bincount(y, w, len(units))[y] * w.sum() / len(units)  # no unit is likelier because more rows name it
@@ -205,39 +225,43 @@ def fit_forests(cells: pd.DataFrame, classes: dict[str, list[str]]) -> dict[str,
     return forests
 
 
-def conversion_classes(unit_catalog: DataFrame, concept_catalog: DataFrame) -> tuple[dict[str, list[str]], dict[str, dict[str, str]]]:
-    """For each concept one unit of every (factor, shift), the common unit first; and each unit's representative."""
+def conversion_classes(unit_catalog: DataFrame, concept_catalog: DataFrame) -> tuple[dict[str, dict[str, tuple[float, float]]], dict[str, dict[str, str]]]:
+    """For each concept one unit of every (factor, shift), with them, the common unit first; and each unit's representative."""
     common = {r.concept_name: r.common_unit for r in concept_catalog.select("concept_name", "common_unit").where("common_unit is not null").collect()}
     classes: dict[str, dict[tuple, str]] = {}
     member: dict[str, dict[str, str]] = {}
     rows = sorted(unit_catalog.dropna(subset=["concept_name", "unit_code"]).collect(), key=lambda r: (r.concept_name, r.unit_code != common.get(r.concept_name), r.unit_code))
     for r in rows:
-        unit = classes.setdefault(r.concept_name, {}).setdefault((r.factor, r.shift), r.unit_code)
+        unit = classes.setdefault(r.concept_name, {}).setdefault((float(r.factor), float(r.shift or 0.0)), r.unit_code)
         member.setdefault(r.concept_name, {})[r.unit_code] = unit
-    return {c: list(x.values()) for c, x in classes.items()}, member
+    return {c: {unit: way for way, unit in x.items()} for c, x in classes.items()}, member
 
 
 def source_units(read: DataFrame, unit_catalog: DataFrame, concept_catalog: DataFrame) -> DataFrame:
-    """(concept_name, source_id, unit_code, probability): the unit of the rows of each source that name none. `read`: see readings()."""
+    """(concept_name, source_id, unit_code, probability): the unit of the rows of each source that name none. `read`: see readings().
+
+    A (concept, source) has no row if no row of the concept names a unit and its units convert differently.
+    """
     classes, member = conversion_classes(unit_catalog, concept_catalog)
     keys = ["concept_name", "source_id", "unit_code"]
     magnitude = F.round(F.log10(F.greatest(F.abs("x"), F.lit(1e-9))) / BIN) * BIN
-    cells = cut(read.where("x is not null").groupBy(*keys, magnitude.alias("magnitude"), "decimals").agg(F.count("*").alias("n")))
+    cells = cut(read.where("x is not null and not unknown").groupBy(*keys, magnitude.alias("magnitude"), "decimals").agg(F.count("*").alias("n")))
     group = W.partitionBy(*keys)
     cells = cells.withColumn("level", F.sum(F.col("magnitude") * F.col("n")).over(group) / F.sum("n").over(group))
-    bounded = cells.where("unit_code is not null").orderBy(F.col("n").desc(), F.xxhash64(*keys, "magnitude", "decimals")).limit(FIT_CELLS)
-    known = bounded.toPandas()
+    spread = W.partitionBy("concept_name", "unit_code").orderBy(F.xxhash64(*keys, "magnitude", "decimals"), "source_id", "magnitude", "decimals")
+    bounded = cells.where("unit_code is not null").withColumn("_k", F.row_number().over(spread)).where(F.col("_k") <= FIT_CELLS).drop("_k")
+    known = bounded.toPandas()  # at most FIT_CELLS of each row of the unit catalogue
     known["unit_code"] = [member.get(c, {}).get(u) for c, u in zip(known.concept_name, known.unit_code)]
     forests = fit_forests(known, classes)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for concept, own in part.groupby("concept_name"):
-                units = classes.get(concept, [])
+                units = list(classes.get(concept, {}))
                 if concept in forests:
                     p = forests[concept].predict(own[["magnitude", "level", "decimals"]].to_numpy(float))
-                elif units:
-                    p = np.tile(np.eye(len(units))[0], (len(own), 1))
+                elif len(units) == 1:  # every unit of the concept converts in the same way
+                    p = np.ones((len(own), 1))
                 else:
                     continue
                 for i, unit in enumerate(units):
@@ -250,32 +274,33 @@ def source_units(read: DataFrame, unit_catalog: DataFrame, concept_catalog: Data
 
 
 def harmonise(rows: DataFrame, concept_catalog: DataFrame, unit_catalog: DataFrame, keep: list[str]) -> DataFrame:
-    """Every row of a `measure` concept whose value holds a number, in common units.
+    """Every row of a `measure` concept whose value holds a number, in common units. The readings are stored once.
 
     Columns: `keep`, concept_name, source_id, x, decimals, unit_code, y (in common_unit), factor, common_unit, min_possible,
-    max_possible, named (the row named its unit), probability (of an inferred unit), review (inferred, but not sure enough:
-    unit_code and y are the best guess). Rows without a readable number are left out. Repeated rows are kept each.
+    max_possible, named (the row named its unit), probability (of an inferred unit), review (the unit is unknown, or inferred
+    but not sure enough: unit_code and y are the best guess, null if there is none). Rows without a number are left out.
+    Repeated rows are kept each.
     """
     measures = concept_catalog.where("family = 'measure'").select("concept_name", "common_unit", "min_possible", "max_possible")
     spelled = spellings(unit_catalog)
     names = [r.concept_name for r in measures.collect()]
-    read = readings(rows.where(F.col("concept_name").isin(names)), spelled, keep).where("x is not null")
+    read = store(readings(rows.where(F.col("concept_name").isin(names)), spelled, keep).where("x is not null"))
     inferred = source_units(read, unit_catalog, concept_catalog)
     units = spelled.groupBy("concept_name", "unit_code").agg(F.first("factor").alias("factor"), F.first("shift").alias("shift"))
     guess = inferred.join(F.broadcast(units), ["concept_name", "unit_code"]).select(
         F.col("concept_name").alias("_c"), F.col("source_id").alias("_s"), F.col("unit_code").alias("_u"), F.col("factor").alias("_f"), F.col("shift").alias("_h"), "probability"
     )
-    on = F.col("unit_code").isNull() & (F.col("concept_name") == F.col("_c")) & F.col("source_id").eqNullSafe(F.col("_s"))
+    on = F.col("unit_code").isNull() & ~F.col("unknown") & (F.col("concept_name") == F.col("_c")) & F.col("source_id").eqNullSafe(F.col("_s"))
     if inferred.count() <= BROADCAST_ROWS:
         guess = F.broadcast(guess)
     full = read.join(guess, on, "left").join(F.broadcast(measures), "concept_name")
-    factor, shift = F.coalesce("factor", "_f", F.lit(1.0)), F.coalesce("shift", "_h", F.lit(0.0))
+    factor, shift = F.coalesce("factor", "_f"), F.coalesce("shift", "_h")
     return full.select(
         *keep,
         *[c for c in ("concept_name", "source_id") if c not in keep],
         "x",
         "decimals",
-        F.coalesce("unit_code", "_u", "common_unit").alias("unit_code"),
+        F.coalesce("unit_code", "_u").alias("unit_code"),
         (F.col("x") * factor + shift).alias("y"),
         factor.alias("factor"),
         "common_unit",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder named by the session; a local one is set only where none is (tests, one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir. Where none is set, a local master gets one of its own, removed at exit; a cluster is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="intervallum-checkpoint-"))
-    return context.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="intervallum-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -31,6 +36,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like `cut`, as a compressed parquet table: for wide or long frames of which later stages read few columns or rows."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """`wish`, with underscores added until no column of `df` has that name."""
     taken = {c.lower() for c in df.columns}
