@@ -1,29 +1,33 @@
 """Problem 5: attribute-value rows into one row per entity with typed columns.
 
-The latest readable value of each (entity, attribute) is found by an aggregate that combines before its shuffle. The result
-is partitioned and sorted by entity once and kept (memory and disk, rebuilt if an executor is lost). Each attribute is then
-a typed narrow table of that one layout, so the joins need no further exchange or sort: narrow tables are outer-joined to
-the entities in blocks, and the blocks are combined in a balanced tree.
+The latest readable value of each (entity, attribute) is found by an aggregate that combines before its shuffle, and stored
+once. One further shuffle co-partitions the cells by entity. Inside a partition, blocks of whole entities are split by
+attribute into typed narrow tables (entity, value), and the narrow tables are combined by full outer joins in a balanced tree:
+neighbours first, then the results, and so on. The work grows with the number of cells, not with attributes times cells. An
+entity has at most one cell per attribute here, so no block can grow beyond `BLOCK_ROWS` and one entity more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intervallum.tables import cut
+from intervallum.tables import store
 
-BLOCK_SIZE, MOST_COLUMNS = 8, 5_000
+BLOCK_ROWS, MOST_COLUMNS = 100_000, 5_000
 #: Texts that stand for no value, and the texts of both truth values.
 NO_VALUE = ("", "n/a", "?", "pending", "not done", "nan")
 TRUE_TEXTS, FALSE_TEXTS = ("true", "1", "yes", "y", "t"), ("false", "0", "no", "n", "f")
 NUMBER = r"^[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?$"
 STAMP = r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d+)?)?Z?$"
 SQL_TYPES = {"boolean": "boolean", "integer": "bigint", "double": "double", "timestamp": "timestamp_ntz", "string": "string"}
+KINDS = {"boolean": 0, "integer": 1, "double": 2, "score": 2, "timestamp": 3, "string": 4}
 
 
 @dataclass(frozen=True)
@@ -85,33 +89,47 @@ def attributes_of(rows: DataFrame, most: int = MOST_COLUMNS) -> list[Attribute]:
     return [Attribute(a, k) for a, k in kinds.items()]
 
 
-def typed(cell: Column, kind: str) -> Column:
-    return cell.cast("double") if kind == "score" else cell.cast(SQL_TYPES[kind])
-
-
-def pivot_balanced(cells: DataFrame, attributes: Sequence[Attribute], entity: str = "patient_id", block: int = BLOCK_SIZE, parts: int | None = None) -> DataFrame:
-    """`entity` and one typed column per attribute; `cells`: (entity, attribute, cell) with one row per pair.
+def _outer(a: tuple[np.ndarray, list[pa.Array]], b: tuple[np.ndarray, list[pa.Array]]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Full outer join of two tables (ascending keys, columns); columns of a side without the key are null."""
+    keys = np.union1d(a[0], b[0])
+    columns = []
+    for own, values in (a, b):
+        at = np.searchsorted(own, keys)
+        there = own[np.minimum(at, len(own) - 1)] == keys
+        columns += values if there.all() else [v.take(pa.array(at, mask=~there)) for v in values]
+    return keys, columns
+
+
+def _wide_block(part: pa.Table, kinds: Sequence[int]) -> list[pa.Array]:
+    """Entity and one array per attribute from cells sorted by entity: e, a (number of the attribute), one column per kind."""
+    part = part.combine_chunks()
+    array = lambda name: part.column(name).chunk(0)
+    e, a = array("e"), array("a").to_numpy()
+    new = np.r_[True, pc.not_equal(e.slice(1), e.slice(0, len(e) - 1)).to_numpy(zero_copy_only=False)]
+    entity = np.cumsum(new) - 1
+    order = np.argsort(a, kind="stable")
+    edge = np.searchsorted(a[order], np.arange(len(kinds) + 1))
+    values = [array(f"v{k}") for k in range(5)]
+    narrow = {}
+    for i in np.unique(a).tolist():
+        rows = order[edge[i] : edge[i + 1]]
+        narrow[i] = (entity[rows], [values[kinds[i]].take(pa.array(rows))])
+    tables, place = list(narrow.values()), list(narrow)
+    while len(tables) > 1:
+        tables = [_outer(*tables[i : i + 2]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
+    found = dict(zip(place, tables[0][1]))
+    size = int(new.sum())
+    return [e.filter(pa.array(new)), *[found[i] if i in found else pa.nulls(size, values[k].type) for i, k in enumerate(kinds)]]
+
+
+def pivot_balanced(cells: DataFrame, attributes: Sequence[Attribute], entity: str = "patient_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`entity` and one typed column per attribute; `cells`: (entity, attribute, cell) with one row per pair, no nulls.
 
     Entities without any cell have no row. Attributes keep their names, even if one is named like the entity column
-    (then it gets leading underscores). No attributes or no rows give an empty table.
+    (then it gets leading underscores). Other columns of `cells` are ignored. No attributes or no rows give an empty table.
     """
-    # a number of its own keeps the layout from being changed at run time; the joins rely on it
-    parts = parts or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = cells.select(F.col(entity).alias("__e"), F.col("attribute").alias("__a"), F.col("cell").alias("__c")).repartition(parts, "__e").sortWithinPartitions("__e").persist(StorageLevel.MEMORY_AND_DISK)
-    spine = kept.select("__e").distinct()
-
-    def narrow(i: int, a: Attribute) -> DataFrame:
-        return kept.where(F.col("__a") == a.name).select("__e", typed(F.col("__c"), a.kind).alias(f"__v{i}"))
-
-    blocks = []
-    for lo in range(0, len(attributes), block):
-        part = spine
-        for i in range(lo, min(lo + block, len(attributes))):
-            part = part.join(narrow(i, attributes[i]).hint("merge"), "__e", "left")
-        blocks.append(part)
-    while len(blocks) > 1:
-        blocks = [blocks[i].join(blocks[i + 1].hint("merge"), "__e", "left") if i + 1 < len(blocks) else blocks[i] for i in range(0, len(blocks), 2)]
-    wide = blocks[0] if blocks else spine
+    kind_of = cells.schema[entity].dataType.simpleString()
+    kinds = [KINDS[a.kind] for a in attributes]
     names, taken = [], {entity.lower()}
     for a in attributes:
         name = a.name
@@ -119,7 +137,34 @@ def pivot_balanced(cells: DataFrame, attributes: Sequence[Attribute], entity: st
             name = f"_{name}"
         taken.add(name.lower())
         names.append(name)
-    return wide.select(F.col("__e").alias(entity), *[F.col(f"__v{i}").alias(n) for i, n in enumerate(names)])
+    if not attributes:
+        return cells.select(entity).limit(0)
+    known = cells.sparkSession.createDataFrame([(a.name, i, k) for i, (a, k) in enumerate(zip(attributes, kinds))], "__name string, a int, k int")  # as many rows as columns
+    types = ["boolean", "bigint", "double", "timestamp_ntz", "string"]
+    typed = [F.when(F.col("k") == k, F.col("cell").cast(t)).alias(f"v{k}") for k, t in enumerate(types)]
+    rows = cells.join(F.broadcast(known), F.col("attribute") == F.col("__name")).select(F.col(entity).alias("e"), "a", *typed)
+    schema = ", ".join([f"e {kind_of}", *[f"c{i} {types[k]}" for i, k in enumerate(kinds)]])
+    columns = ["e", *[f"c{i}" for i in range(len(kinds))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for part in batches:
+            if not part.num_rows:
+                continue
+            held.append(part)
+            if sum(b.num_rows for b in held) >= block_rows:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                e = whole.column("e").chunk(0)
+                last = np.flatnonzero(pc.not_equal(e, e[-1]).to_numpy(zero_copy_only=False))
+                end = int(last[-1]) + 1 if len(last) else 0
+                if end:
+                    yield pa.RecordBatch.from_arrays(_wide_block(whole.slice(0, end), kinds), columns)
+                held = whole.slice(end).to_batches()
+        if held:
+            yield pa.RecordBatch.from_arrays(_wide_block(pa.Table.from_batches(held), kinds), columns)
+
+    wide = rows.repartition("e").sortWithinPartitions("e").mapInArrow(run, schema)
+    return wide.select(F.col("e").alias(entity), *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def cell_text(cell: Column, kind: str) -> Column:
@@ -144,6 +189,6 @@ def cells_of(wide: DataFrame, attributes: Sequence[Attribute], entity: str = "pa
 def wide_patients(output: DataFrame, scores: DataFrame, concept_catalog: DataFrame) -> tuple[DataFrame, list[Attribute]]:
     """The wide table of all patients, and its attributes in the order of its columns."""
     # stored once: the attributes are found in it, and the plan of each narrow table stays short
-    cells = cut(latest(attribute_rows(output, scores, concept_catalog)))
+    cells = store(latest(attribute_rows(output, scores, concept_catalog)))
     attributes = attributes_of(cells)
     return pivot_balanced(cells, attributes), attributes

@@ -54,7 +54,7 @@ def _with_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.score_bins(_with_outcome(spark, sf_dir), "total_score", "death_within_30d", 10, 3), "ratio", "avg_score")
+    return rounded(stats.score_bins(_with_outcome(spark, sf_dir), "total_score", "death_within_30d", 10), "ratio", "avg_score")
 
 
 def visit_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,14 @@ def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 def feature_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per visit, complication and aspect that is known often enough, with its value (median where unknown)."""
     wide, aspects = _features(spark, sf_dir)
-    got = stats.impute(wide, aspects, 0.999)
+    got = stats.impute(wide, aspects)
     kept = [a for a in aspects if a in got.columns]
-    return got.select("patient_id", "complication", *[six(F.col(f"`{a}`")).alias(a) for a in kept], *[F.col(f"`{a}__missing`").cast("long").alias(f"{a}__missing") for a in kept])
+    if not kept:
+        return got.select("patient_id", "complication", F.lit("").alias("aspect"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("missing")).limit(0)
+    each = F.array(*[F.struct(F.lit(a).alias("aspect"), six(F.col(f"`{a}`")).alias("score"), F.col(f"`{a}__missing`").cast("long").alias("missing")) for a in kept])
+    return got.select("patient_id", "complication", F.inline(each))
 
 
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +225,7 @@ _SMD = " union all ".join(
     f"select '{c}' as feature, round((avg({c}) filter (where treated = 1) - avg({c}) filter (where treated = 0)) / coalesce(nullif(stddev_pop({c}), 0), 1), 6) as smd_before, round((sum({c} * w) filter (where treated = 1) / sum(w) filter (where treated = 1) - sum({c} * w) filter (where treated = 0) / sum(w) filter (where treated = 0)) / coalesce(nullif(stddev_pop({c}), 0), 1), 6) as smd_after from f"
     for c in ("n_lines", "quantity", "discount")
 )
-_NAMES = "nm as (select concept_name as pattern_name from concept_catalog where family = 'pattern' order by 1 limit 4)"
+_NAMES = "nm as (select concept_name as pattern_name from concept_catalog where family = 'pattern')"
 
 SQL = {
     "adherence_daily": f"with {_D} select patient_id, pattern_name, compliance_type, strftime(day, '%Y-%m-%d') as day, round(avg(compliance_score), 6) as day_score from d group by patient_id, pattern_name, compliance_type, d.day",
@@ -232,11 +236,13 @@ SQL = {
     "monthly_ci": f"with {_PAT}, m as (select date_trunc('month', first_start) as month, avg(total_score) as mean, stddev_samp(total_score) as sd, count(total_score) as n from tot group by all) select strftime(month, '%Y-%m-%d') as month, {_R('mean', 'sd')}, n, round(sd / sqrt(n), 6) as sem, round(mean - 1.96 * sd / sqrt(n), 6) as low, round(mean + 1.96 * sd / sqrt(n), 6) as high from m",
     "event_day_ratio": f"""with {_D}, a as (select patient_id, count(distinct day) as score_days from d group by all), b as (select patient_id, count(distinct cast(start_date_time as date)) as event_days, {", ".join(f"count(*) filter (where concept_name = '{e}') as n_{e.lower()}" for e in EVENTS)} from output_patient_data where concept_name in ({_IN}) group by all)
 select a.patient_id, score_days, coalesce(event_days, 0) as event_days, {", ".join(f"coalesce(n_{e.lower()}, 0) as n_{e.lower()}" for e in EVENTS)}, round(coalesce(event_days, 0) / score_days, 6) as event_ratio from a left join b on a.patient_id = b.patient_id""",
-    "score_bins": f"with {_PAT}, {_VIS}, r as (select total_score as x, death_within_30d as y from tot join vis on visit_id = patient_id where total_score is not null and death_within_30d is not null), e as (select min(x) as lo, max(x) as hi from r), b as (select greatest(1, least(10, coalesce(ceil((x - lo) / nullif(hi - lo, 0) * 10), 1))) as bin, x, y from r, e) select cast(bin as integer) as bin, count(*) as n, round(avg(y), 6) as ratio, round(avg(x), 6) as avg_score from b group by bin having count(*) >= 3",
+    "score_bins": f"with {_PAT}, {_VIS}, r as (select total_score as x, death_within_30d as y from tot join vis on visit_id = patient_id where total_score is not null and death_within_30d is not null), e as (select min(x) as lo, max(x) as hi from r), b as (select greatest(1, least(10, coalesce(ceil((x - lo) / nullif(hi - lo, 0) * 10), 1))) as bin, x, y from r, e) select cast(bin as integer) as bin, count(*) as n, round(avg(y), 6) as ratio, round(avg(x), 6) as avg_score from b group by bin having count(*) >= 30",
     "visit_durations": f"with {_VIS} select visit_id, person_id, epoch_us(start_datetime) as start_us, duration_days, hospital, cast(death_within_30d as bigint) as death_within_30d from vis",
     "complication_labels": f"with {_LAB} select patient_id, complication, epoch_us(admit) as admit_us, epoch_us(cutoff) as cutoff_us, cast(y as bigint) as y from lab",
     "windowed_qa_features": f"with {_ASP} select patient_id, complication, aspect, {_R('avg_score')} from asp",
-    "aspect_totals": f"""with {_ASP}, {_NAMES}, k as (select patient_id, complication, split_part(aspect, '__', 1) as pattern, avg(avg_score) as s from asp where split_part(aspect, '__', 2) in ('TimeConstraint', 'ValueConstraint') and split_part(aspect, '__', 1) in (select pattern_name from nm) group by all),
+    "feature_imputation": f"""with {_ASP}, {_NAMES}, kept as (select aspect, median(avg_score) as middle from asp where split_part(aspect, '__', 1) in (select pattern_name from nm) and contains(aspect, '__') group by aspect having 1 - count(*) / (select count(*) from lab) <= 0.95)
+select lab.patient_id, lab.complication, kept.aspect, round(coalesce(avg_score, middle), 6) as score, cast(case when avg_score is null then 1 else 0 end as bigint) as missing from lab cross join kept left join asp on asp.patient_id = lab.patient_id and asp.complication = lab.complication and asp.aspect = kept.aspect""",
+    "aspect_totals": f"""with {_ASP}, {_NAMES}, k as (select patient_id, complication, split_part(aspect, '__', 1) as pattern, avg(avg_score) as s from asp where split_part(aspect, '__', 1) in (select pattern_name from nm) and contains(aspect, '__') group by all),
 z as (select patient_id, complication, avg(s) as s from k group by all) select lab.patient_id, lab.complication, round(s, 6) as total_adherence from lab left join z on z.patient_id = lab.patient_id and z.complication = lab.complication""",
     "bh_fdr": """with o as (select o_orderkey, o_orderpriority, case when o_totalprice / 500000.0 <= 1 then o_totalprice / 500000.0 end as p from orders),
 r as (select *, row_number() over (partition by o_orderpriority order by p) as k, count(*) over (partition by o_orderpriority) as m from o where p is not null),
