@@ -1,17 +1,23 @@
 """Problem 9: evaluation texts inside training texts, by a distributed positional inverted index.
 
-Terms are pairs of adjacent words of the evaluation items. The index holds, for each block of documents, the postings
-(document, position) of every term; it is built where the documents are read and stored in the shared folder. Document
-frequencies of the terms come from the whole index. The posting lists of an item are then intersected from its rarest terms:
-a passage case needs at least n/6 intact terms, so the rarest terms that leave fewer than n/6 - 1 positions uncovered can't
-all miss it. Documents where two of them agree in offset (position in the document minus position in the item) are
-candidates; there all postings of the item are chained, in order and close together, into exact phrases and near matches
+The index holds the whole corpus, whatever the items: it is cut by documents into segments, and each segment has its words
+and the posting list (positions of all its documents) of each. It is built once, where the documents are read, and stored in
+the shared folder; any number of evaluation items is searched in it, in blocks of `ITEMS` that only bound memory.
+
+Terms of the search are pairs of adjacent words of an item; their postings come from the lists of both words, offset by one. In
+each segment an item's rarest terms lead: a passage of w words that counts has at least 4/9 w intact terms at different places
+of the item, and passages that overlap in the item share at most half of theirs, so a leak of n/3 words has at least 2n/27
+terms at different places (`Items.least`). Leaving out the commonest half of so many, every leak still hits the other half
+of them, wherever its passages stand: so no leak is lost, and common terms are looked up only for documents that are candidates
+by rare ones. There all postings of the item are chained, in order and close together, into exact phrases and near matches
 (single changed, added or dropped words). A document leaks an item if its passages, in the item's order, span at least
 `SHARE` of the item's words; opening instructions that several items share count only beside a passage of the item itself.
 Items share an opening if `STOCK_ITEMS` different texts of the whole table begin with it. One of more than `STOCK_WORDS` words
 is no instruction (a passage with several questions, say): an unbroken run of more words than that within it counts as well.
 
-Index and search are cut by documents, so no hot term is ever gathered in one task. Items are processed in blocks of `ITEMS`.
+A passage that counts has at least `LEAST_WORDS` words (or the whole item, if that is shorter), at least `LEAST_TERMS` intact
+terms, on half of its places, and no stretch of more than `GAP` places without one. Text so interleaved with other words that
+no stretch meets this is no passage. Segments are cut by documents, so no hot term is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 from intervallum.tables import cut
 
 SHARE, GAP, LEAST_TERMS, LEAST_WORDS, ITEMS, STOCK_ITEMS, STOCK_WORDS = 1 / 3, 3, 4, 8, 20_000, 3, 20
+#: Bounds of memory, not of results: documents and words of a segment, places between its documents, occurrences expanded at once.
+SEGMENT_DOCS, SEGMENT_WORDS, APART, EXPANDED = 2_000, 1_000_000, 8, 1_000_000
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _ESCAPE = re.compile(r"\\(?:[nrtbfv]|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2})|&(?:[a-zA-Z]{2,8}|#x?[0-9a-fA-F]{1,6});|\\|[­​-‏⁠﻿]")
 
@@ -56,9 +65,6 @@ class Lexicon(dict):
         self.longest = max((len(w) for w in vocabulary), default=0)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > self.most:
-            self.clear()
-            self.update(self.base)
         parts = self._split(word) if 6 <= len(word) <= 80 else None
         code = -1
         if parts:
@@ -67,21 +73,25 @@ class Lexicon(dict):
         self[word] = code
         return code
 
+    def trim(self) -> None:
+        """Forgets other words when there are many; codes given before are void."""
+        if len(self) > self.most + len(self.base):
+            self.clear()
+            self.update(self.base)
+            self.joined.clear()
+
     def _split(self, word: str) -> list[int] | None:
         """The fewest item words of three or more letters that make up the whole word."""
         best: list[list[int] | None] = [[]] + [None] * len(word)
-        for end in range(3, len(word) + 1):
-            for start in range(max(0, end - self.longest), end - 2):
-                if best[start] is not None and (w := self.base.get(word[start:end])) is not None and (best[end] is None or len(best[start]) + 1 < len(best[end])):
+        for start in range(len(word) - 2):
+            if best[start] is None:
+                continue
+            for end in range(start + 3, min(len(word), start + self.longest) + 1):
+                w = self.base.get(word[start:end])
+                if w is not None and (best[end] is None or len(best[start]) + 1 < len(best[end])):
                     best[end] = [*best[start], w]
         return best[len(word)]
 
-    def ids(self, text: str | None) -> np.ndarray:
-        codes = np.array([self[w] for w in words(text)], np.int64)
-        if len(codes) and codes.min() < -1:
-            codes = np.array([y for x in codes.tolist() for y in (self.joined[-2 - x] if x < -1 else (x,))], np.int64)
-        return codes
-
 
 class Items:
     """One block of evaluation items: words, terms (word pairs), where each term stands, and the length of opening stock words.
@@ -89,14 +99,15 @@ class Items:
     `shared`: the openings that several items of the whole table share; counted in the block if not given.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], shared: set[str] | None = None):
+    def __init__(self, rows: list[tuple[int, str]], shared: set[str] | None = None, share: float = SHARE):
+        self.share = share
         texts = [(i, words(t)) for i, t in rows]
         if shared is None:
             opening = Counter(o for o, _ in {(self._opening(t), tuple(words(t))) for _, t in rows})
             shared = {o for o, n in opening.items() if n >= STOCK_ITEMS}
         stock = [len(words(self._opening(t))) if self._opening(t) in shared else 0 for _, t in rows]
-        stock = [n for n, (_, w) in zip(stock, texts) if w]
-        texts = [(i, w) for i, w in texts if w]
+        stock = [n for n, (_, w) in zip(stock, texts) if len(w) > 1]
+        texts = [(i, w) for i, w in texts if len(w) > 1]
         self.vocabulary = sorted({w for _, ws in texts for w in ws})
         at = {w: k for k, w in enumerate(self.vocabulary)}
         self.ids = np.array([i for i, _ in texts], np.int64)
@@ -120,71 +131,99 @@ class Items:
         """The first line or sentence, by which items may share an instruction."""
         return re.split(r"(?<=[.?!:])\s|\n", (text or "").strip(), maxsplit=1)[0].lower()
 
-    def anchors(self, frequency: np.ndarray) -> np.ndarray:
-        """For each place of a term in an item: is it one of the rarest that a leak can't all miss?"""
+    @property
+    def least(self) -> np.ndarray:
+        """Of each item: the number of different places at which a leak has intact terms, at least."""
+        return np.maximum(np.ceil(2 * self.share * self.length / 9 - 1e-9).astype(int), self.least_terms)
+
+    @property
+    def least_terms(self) -> np.ndarray:
+        return np.minimum(LEAST_TERMS, self.length - 1)
+
+    @property
+    def least_own(self) -> np.ndarray:
+        """The same outside short stock words: a passage has a term in every `GAP` places, and ends with one."""
+        own = np.minimum(self.share * self.length / 2, self.length - self.stock)
+        return np.where((self.stock > 0) & (self.stock <= STOCK_WORDS), np.maximum((own / (2 * GAP + 1)).astype(int), 1), 0)
+
+    def anchors(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of a term in an item: is it one of the rarest? And of each item: how many of those a leak has at least."""
         term = np.repeat(np.arange(len(self.terms)), np.diff(self.start))
         out = np.zeros(len(term), bool)
         order = np.lexsort((self.where, frequency[term], self.item))
         item = self.item[order]
         rank = np.arange(len(item)) - np.searchsorted(item, item)
-        keep = self.length - 1 - np.maximum(self.length // 6 - 2, 0)
-        # places in stock words count where the opening is long, or the item has too little beside it for two anchors
-        first = np.where((self.stock > STOCK_WORDS) | (self.length - 1 - self.stock < 2), 0, self.stock)
-        out[order] = (rank < keep[item]) & (self.where[order] >= first[item])
-        return out
-
-
-def _index_block(lexicon: Lexicon, items: Items, ids: list, texts: list) -> pa.RecordBatch | None:
-    docs, places, found = [], [], []
-    for i, text in zip(ids, texts):
-        v = lexicon.ids(text)
-        near = np.flatnonzero((v[:-1] >= 0) & (v[1:] >= 0)) if len(v) > 1 else np.zeros(0, int)
-        if not len(near):
-            continue
-        code = v[near] * len(items.vocabulary) + v[near + 1]
-        t = np.minimum(np.searchsorted(items.terms, code), len(items.terms) - 1)
-        hit = items.terms[t] == code
-        if hit.any():
-            found.append(t[hit])
-            places.append(near[hit])
-            docs.append(np.full(int(hit.sum()), i, np.int64))
-    if not found:
-        return None
-    t, p, d = np.concatenate(found), np.concatenate(places), np.concatenate(docs)
-    order = np.argsort(t, kind="stable")
-    t, p, d = t[order], p[order].astype("<i4"), d[order].astype("<i8")
-    start = np.r_[0, np.flatnonzero(np.diff(t)) + 1, len(t)]
-    new = np.r_[True, (t[1:] != t[:-1]) | (d[1:] != d[:-1])]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(t[start[:-1]], pa.int32()),
-            pa.array(np.add.reduceat(new.astype(np.int64), start[:-1])),
-            pa.array([d[a:b].tobytes() for a, b in zip(start, start[1:])], pa.binary()),
-            pa.array([p[a:b].tobytes() for a, b in zip(start, start[1:])], pa.binary()),
-        ],
-        ["term", "documents", "ids", "positions"],
-    )
-
-
-def build_index(documents: DataFrame, items: Items, key: str, text: str) -> DataFrame:
-    """(block, term, documents, ids, positions), stored in the shared folder. A block's rows lie together."""
+        hits = (self.least + 1) // 2
+        out[order] = rank < (self.length - 1 - self.least + hits)[item]
+        return out, hits
+
+
+class _Numbers(dict):
+    """Word -> its number, in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+SEGMENT = "ids binary, starts binary, terms binary, counts binary, places binary"
+
+
+def make_segment(ids: list[int], texts: list[list[str]]) -> list[bytes]:
+    """A row of `SEGMENT`: the documents laid end to end, and the postings of every word."""
+    numbers = _Numbers()
+    size = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(size + APART) - size - APART
+    code = np.array([numbers[w] for t in texts for w in t], np.int32)
+    place = np.arange(len(code)) + np.repeat(np.arange(len(texts)) * APART, size)
+    order = np.argsort(code, kind="stable")
+    place = place[order]
+    step = np.diff(place, prepend=0)
+    counts = np.bincount(code, minlength=len(numbers)) if len(code) else np.zeros(0, int)
+    first = np.cumsum(counts) - counts
+    step[first] = place[first]
+    pack = lambda x: zlib.compress(x, 1)
+    return [np.array(ids, "<i8").tobytes(), starts.astype("<i8").tobytes(), pack("\n".join(numbers).encode()), pack(counts.astype("<i4").tobytes()), pack(step.astype("<i4").tobytes())]
+
+
+def open_segment(ids: bytes, starts: bytes, terms: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """ids and starts of the documents, words, length of their posting lists, and the lists end to end."""
+    n = np.frombuffer(zlib.decompress(counts), "<i4").astype(np.int64)
+    run = np.cumsum(np.frombuffer(zlib.decompress(places), "<i4"), dtype=np.int64)
+    first = np.cumsum(n) - n
+    before = np.where(first > 0, run[first - 1], 0) if len(n) else first
+    text = zlib.decompress(terms).decode()
+    return np.frombuffer(ids, "<i8"), np.frombuffer(starts, "<i8"), text.split("\n") if text else [], n, run - np.repeat(before, n)
+
+
+def build_index(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """The segments of all documents with a key and words, stored in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(items.vocabulary)
+        names = [c.split()[0] for c in SEGMENT.split(", ")]
+        make = lambda ids, texts: pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in make_segment(ids, texts)], names)
+        ids, texts, total = [], [], 0
         for part in batches:
-            for at in range(0, part.num_rows, 4000):
-                few = part.slice(at, 4000)
-                made = _index_block(lexicon, items, few.column(0).to_pylist(), few.column(1).to_pylist())
-                if made is not None:
-                    block = int(few.column(0)[0].as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(made.num_rows, block), pa.int64()), *made.columns], ["block", *made.schema.names])
+            for i, t in zip(part.column(0).to_pylist(), part.column(1)):
+                found = words(t.as_py())
+                if not found:
+                    continue
+                ids.append(i)
+                texts.append(found)
+                total += len(found)
+                if len(ids) >= SEGMENT_DOCS or total >= SEGMENT_WORDS:
+                    yield make(ids, texts)
+                    ids, texts, total = [], [], 0
+        if ids:
+            yield make(ids, texts)
 
     rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
-    return cut(rows.mapInArrow(run, "block long, term int, documents long, ids binary, positions binary"))
+    return cut(rows.mapInArrow(run, SEGMENT))
 
 
-def chains(doc_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Passages as (first place in the document, first and last place in the item, matched terms)."""
+def chains(doc_at: np.ndarray, item_at: np.ndarray, length: int = 1_000) -> list[tuple[int, int, int, int]]:
+    """Passages of an item of `length` words as (first place in the document, first and last place in the item, matched terms)."""
+    terms, size = min(LEAST_TERMS, length - 1), min(LEAST_WORDS, length)
     active: list[list[int]] = []
     done: list[list[int]] = []
     for p, q in zip(doc_at.tolist(), item_at.tolist()):
@@ -202,7 +241,7 @@ def chains(doc_at: np.ndarray, item_at: np.ndarray) -> list[tuple[int, int, int,
             active.append([p, q, p, q, 1])
         else:
             best[0], best[1], best[4] = p, q, best[4] + 1
-    return [(c[2], c[3], c[1], c[4]) for c in done + active if c[4] >= LEAST_TERMS and c[1] - c[3] + 2 >= LEAST_WORDS and 2 * c[4] >= c[1] - c[3] + 1]
+    return [(c[2], c[3], c[1], c[4]) for c in done + active if c[4] >= terms and c[1] - c[3] + 2 >= size and 2 * c[4] >= c[1] - c[3] + 1]
 
 
 def coverage(passages: list[tuple[int, int, int, int]], stock: int) -> tuple[int, int]:
@@ -232,88 +271,141 @@ def exact_run(doc_at: np.ndarray, item_at: np.ndarray, stock: int) -> int:
     return longest if longest > STOCK_WORDS else 0
 
 
-def _search_block(items: Items, anchor: np.ndarray, part: pd.DataFrame, share: float) -> pd.DataFrame:
-    count = np.array([len(x) // 4 for x in part.positions])
-    term = np.repeat(part.term.to_numpy(np.int64), count)
-    doc, pos = np.frombuffer(b"".join(part.ids), "<i8"), np.frombuffer(b"".join(part.positions), "<i4").astype(np.int64)
-    names, d = np.unique(doc, return_inverse=True)
+def _postings(items: Items, lexicon: Lexicon, terms: list[str], counts: np.ndarray, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, term of the items) of every word pair of the segment that is a term, in order of place."""
+    codes = np.array([lexicon[t] for t in terms], np.int64)
+    known = codes != -1
+    mine = np.repeat(known, counts)
+    place, code = places[mine], np.repeat(codes[known], counts[known])
+    order = np.argsort(place, kind="stable")
+    place, code = place[order], code[order]
+    doc = np.searchsorted(starts, place, side="right") - 1
+    joined = code < -1
+    if joined.any():  # words run together take as many places as they have parts
+        parts = [lexicon.joined[-2 - c] for c in code[joined].tolist()]
+        size = np.ones(len(code), np.int64)
+        size[joined] = [len(p) for p in parts]
+        row = np.repeat(np.arange(len(code)), size)
+        place = place[row] + np.arange(len(row)) - row
+        is_joined = joined[row]
+        code, doc = code[row], doc[row]
+        code[is_joined] = np.concatenate([np.array(p, np.int64) for p in parts])
+    near = np.flatnonzero(place[1:] - place[:-1] == 1) if len(place) > 1 else np.zeros(0, np.int64)
+    pair = code[near] * len(items.vocabulary) + code[near + 1] if len(near) else near
+    term = np.minimum(np.searchsorted(items.terms, pair), len(items.terms) - 1)
+    hit = items.terms[term] == pair
+    return doc[near][hit], place[near][hit], term[hit]
+
+
+def _linked(pair: np.ndarray, pos: np.ndarray, where: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Occurrences of pairs that have `least` occurrences in a row that a chain could follow; sorted by pair, place, where."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    shift = 1
+    while shift < len(pair):
+        step = pos[shift:] - pos[:-shift]
+        near = (pair[shift:] == pair[:-shift]) & (step <= GAP)
+        if not near.any():
+            break
+        on = where[shift:] - where[:-shift]
+        at = np.flatnonzero(near & (step > 0) & (on > 0) & (on <= GAP) & (np.abs(step - on) <= 1))
+        left.append(at)
+        right.append(at + shift)
+        shift += 1
+    i, j = np.concatenate(left), np.concatenate(right)
+    long_ = [np.ones(len(pair), bool)]
+    for _ in range(LEAST_TERMS - 1):
+        after = np.zeros(len(pair), bool)
+        after[j[long_[-1][i]]] = True
+        long_.append(after)
+    enough = np.choose(np.clip(least, 1, LEAST_TERMS) - 1, long_) if len(pair) else np.zeros(0, bool)
+    return np.isin(pair, np.unique(pair[enough]))
+
+
+def search_segment(items: Items, lexicon: Lexicon, segment: tuple) -> list[tuple[int, int]]:
+    """(document id, item id) of the leaks in one segment."""
+    ids, starts, terms, counts, places = segment
+    lexicon.trim()
+    doc, pos, term = _postings(items, lexicon, terms, counts, places, starts)
+    if not len(doc):
+        return []
+    anchor, hits = items.anchors(np.bincount(term, minlength=len(items.terms)))
+    size = np.diff(items.start)[term]
+    n, most = len(items.ids), int(items.length.max())
 
     def expand(rows: np.ndarray, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, place in the item) of every occurrence of the rows' terms in items."""
-        size = items.start[term[rows] + 1] - items.start[term[rows]]
-        row = np.repeat(rows, size)
-        at = np.repeat(items.start[term[rows]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        row = np.repeat(rows, size[rows])
+        at = np.repeat(items.start[term[rows]], size[rows]) + np.arange(len(row)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])
         if only is not None:
             keep = only[at]
             row, at = row[keep], at[keep]
         return row, items.item[at], items.where[at]
 
-    n = len(items.ids)
-    has = np.zeros(len(items.terms), bool)
-    places = np.repeat(np.arange(len(items.terms)), np.diff(items.start))
-    has[places[anchor]] = True
-    pairs = []
-    first = np.flatnonzero(has[term])
-    for lo in range(0, len(first), 200_000):
-        row, item, where = expand(first[lo : lo + 200_000], anchor)
-        # offsets in overlapping buckets of 64: two agreeing anchors share one of them
-        offset = pos[row] - where + 2**20
-        for shift in (0, 32):
-            pairs.append(np.column_stack([d[row] * n + item, (offset + shift) // 64 * 2 + (shift > 0)]))
-    if not pairs:
-        return pd.DataFrame({"doc_id": [], "item_id": []})
-    hits = np.concatenate(pairs)
-    code, times = np.unique(hits, axis=0, return_counts=True)
-    candidates = np.unique(code[times >= 2, 0])
-    docs = np.zeros(len(names), bool)
-    docs[candidates // n] = True
+    def places_of(pair: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs, and at how many different places of the item each has a term."""
+        return np.unique(np.unique(pair * most + where) // most, return_counts=True)
+
+    def among(pair: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        return chosen[np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)] == pair if len(chosen) else np.zeros(len(pair), bool)
+
     out: list[tuple[int, int]] = []
-    rows = np.flatnonzero(docs[d])
-    rows = rows[np.lexsort((pos[rows], d[rows]))]
-    bounds = np.r_[0, np.flatnonzero(np.diff(d[rows])) + 1, len(rows)]
-    group = 0
-    while group < len(bounds) - 1:  # whole documents, some 100,000 postings at a time
-        end = max(group + 1, int(np.searchsorted(bounds, bounds[group] + 100_000, side="right")) - 1)
-        row, item, where = expand(rows[bounds[group] : bounds[end]], None)
-        pair = d[row] * n + item
-        keep = candidates[np.minimum(np.searchsorted(candidates, pair), len(candidates) - 1)] == pair
+    edge = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]  # documents
+    total = np.r_[0, np.cumsum(size)][edge]
+    lo = 0
+    while lo < len(edge) - 1:  # whole documents, EXPANDED occurrences at a time
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + EXPANDED, side="right")) - 1)
+        rows = np.arange(edge[lo], edge[hi])
+        lo = hi
+        row, item, where = expand(rows, anchor)
+        pair, found = places_of(doc[row] * n + item, where)
+        chosen = pair[found >= hits[pair % n]]
+        if not len(chosen):
+            continue
+        row, item, where = expand(rows[np.isin(doc[rows], chosen // n)], None)
+        pair = doc[row] * n + item
+        keep = among(pair, chosen)
+        row, where, pair = row[keep], where[keep], pair[keep]
+        all_, found = places_of(pair, where)
+        chosen = all_[found >= items.least[all_ % n]]
+        own = where + 1 >= items.stock[pair % n]
+        outside = np.zeros(len(chosen), np.int64)
+        with_own, found = places_of(pair[own], where[own])
+        there = among(with_own, chosen)
+        outside[np.searchsorted(chosen, with_own[there])] = found[there]
+        chosen = chosen[outside >= items.least_own[chosen % n]]
+        keep = among(pair, chosen)
         row, where, pair = row[keep], where[keep], pair[keep]
         order = np.lexsort((where, pos[row], pair))
         row, where, pair = row[order], where[order], pair[order]
-        edge = np.r_[0, np.flatnonzero(np.diff(pair)) + 1, len(pair)] if len(pair) else np.zeros(1, int)
-        for a, b in zip(edge, edge[1:]):
+        keep = _linked(pair, pos[row], where, items.least_terms[pair % n])
+        row, where, pair = row[keep], where[keep], pair[keep]
+        bounds = np.r_[0, np.flatnonzero(np.diff(pair)) + 1, len(pair)] if len(pair) else np.zeros(1, int)
+        for a, b in zip(bounds, bounds[1:]):
             k = int(pair[a] % n)
-            need = share * items.length[k]
-            if len(np.unique(where[a:b])) * 2 + 2 < need / 2:
-                continue
-            stock = int(items.stock[k])
-            total, own = coverage(chains(pos[row[a:b]], where[a:b]), stock)
-            own += exact_run(pos[row[a:b]], where[a:b], stock)
-            if total >= need and own >= min(need / 2, items.length[k] - stock):
-                out.append((int(names[pair[a] // n]), int(items.ids[k])))
-        group = end
-    return pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
+            if leaks_item(items, k, pos[row[a:b]], where[a:b]):
+                out.append((int(ids[pair[a] // n]), int(items.ids[k])))
+    return out
+
 
+def leaks_item(items: Items, k: int, doc_at: np.ndarray, item_at: np.ndarray) -> bool:
+    """The rule: do the occurrences of the terms of item `k` in one document, sorted by both places, make up a leak?"""
+    length, stock = int(items.length[k]), int(items.stock[k])
+    need = items.share * length
+    total, own = coverage(chains(doc_at, item_at, length), stock)
+    own += exact_run(doc_at, item_at, stock)
+    return total >= need and own >= min(need / 2, length - stock)
 
-def search_index(index: DataFrame, items: Items, share: float = SHARE) -> DataFrame:
+
+def search_index(index: DataFrame, items: Items) -> DataFrame:
     """(doc_id, item_id) of the leaks in a stored index."""
-    frequency = np.zeros(len(items.terms))
-    for r in index.groupBy("term").agg(F.sum("documents").alias("n")).collect():  # as many rows as the items have terms
-        frequency[r.term] = r.n
-    anchor = items.anchors(frequency)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(items.vocabulary)
         for part in batches:
-            for block, own in part.groupby("block", sort=False):
-                if held and held[0].block.iloc[0] != block:
-                    yield _search_block(items, anchor, pd.concat(held), share)
-                    held = []
-                held.append(own)
-        if held:
-            yield _search_block(items, anchor, pd.concat(held), share)
+            found = [x for row in zip(*[c.to_pylist() for c in part.columns]) for x in search_segment(items, lexicon, open_segment(*row))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], ["doc_id", "item_id"])
 
-    return index.mapInPandas(run, "doc_id long, item_id long")
+    return index.mapInArrow(run, "doc_id long, item_id long")
 
 
 def shared_openings(rows: DataFrame) -> set[str]:
@@ -330,17 +422,22 @@ def shared_openings(rows: DataFrame) -> set[str]:
 def leaked(documents: DataFrame, eval_items: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id): one row per document and leaked item; see the module for the rule.
 
-    Null and empty texts leak nothing and are leaked by nothing; items of one word can't be found. Documents with equal ids
-    are judged as one. Other columns of both tables are ignored. Items are read in blocks, each searched in all documents.
+    Null and empty texts leak nothing and are leaked by nothing; items of one word can't be found, items of 2 to 7 words only
+    as a whole. Rows of documents with equal ids are judged each, and a pair comes out once. Other columns of both tables are
+    ignored. The index of the documents is built once, however many items there are.
     """
     rows = eval_items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().orderBy("item_id")
     shared = shared_openings(rows)
-    parts, block = [], []
+    parts: list[DataFrame] = []
+    block: list[tuple[int, str]] = []
+    index = None
 
     def close() -> None:
-        items = Items(block, shared)
+        nonlocal index
+        items = Items(block, shared, share)
         if len(items.terms):
-            parts.append(search_index(build_index(documents, items, key, text), items, share))
+            index = build_index(documents, key, text) if index is None else index
+            parts.append(search_index(index, items))
 
     for r in rows.toLocalIterator():
         block.append((r[0], r[1]))

@@ -105,5 +105,76 @@ def test_against_brute_force(spark, seed):
     assert found(spark, docs, items) == expected and 5 < len(expected) < 40
 
 
+def occurrences(w, v):
+    """Places of equal word pairs, sorted, by plain comparison."""
+    at = {}
+    for q in range(len(v) - 1):
+        at.setdefault((v[q], v[q + 1]), []).append(q)
+    return sorted((p, q) for p in range(len(w) - 1) for q in at.get((w[p], w[p + 1]), ()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scattered_passages_lose_nothing(seed):
+    """One to four short passages with changed and dropped words, in skewed vocabularies: the search finds what a plain one finds."""
+    rng = np.random.default_rng(seed)
+    rank = np.arange(1, len(WORDS) + 1)
+    skewed = rank ** -1.1 / (rank ** -1.1).sum()
+    say = lambda n: rng.choice(WORDS, n, p=skewed).tolist()
+    items = {i: " ".join(say(int(rng.choice([3, 6, 9, 14, 24, 72, 120])))) for i in range(1, 60)} | {i: STOCK + " " + " ".join(say(60)) for i in range(60, 80)}
+    docs = []
+    for d in range(400):
+        v = items[int(rng.integers(1, 80))].split()
+        doc = say(20)
+        for _ in range(int(rng.integers(1, 5))):
+            a, n = int(rng.integers(0, max(1, len(v) - 8))), int(rng.integers(8, 20))
+            part = v[a : a + n]
+            for _ in range(int(rng.integers(0, 3))):
+                k = int(rng.integers(0, len(part)))
+                part[k : k + 1] = [[], ["changed"], [part[k], "added"]][int(rng.integers(0, 3))]
+                part = part or ["x"]
+            doc += part + say(int(rng.integers(0, 12)))
+        docs.append(doc)
+    block = leaks.Items(list(items.items()))
+    texts = {int(i): leaks.words(items[int(i)]) for i in block.ids}
+    expected = set()
+    for d, w in enumerate(docs):
+        for k, i in enumerate(block.ids.tolist()):
+            points = occurrences(w, texts[i])
+            if points and leaks.leaks_item(block, k, np.array([p for p, _ in points]), np.array([q for _, q in points])):
+                expected.add((d, i))
+    got = set()
+    for lo in range(0, len(docs), 150):
+        row = leaks.make_segment(list(range(lo, min(lo + 150, len(docs)))), docs[lo : lo + 150])
+        got |= set(leaks.search_segment(block, leaks.Lexicon(block.vocabulary), leaks.open_segment(*row)))
+    assert got == expected and len(expected) > 100
+
+
+def test_short_items(spark):
+    """An item shorter than a passage is found as a whole, and only so."""
+    items = {1: "zorbo plix quandle", 2: "the mell of it"}
+    docs = [(1, "so Zorbo, plix\n+ quandle it is"), (2, "zorbo plix"), (3, "the mell of all"), (4, "and the mell of it")]
+    assert found(spark, docs, items) == {(1, 1), (4, 2)}
+
+
+def test_one_index_for_all_items(spark, monkeypatch):
+    rng, items = build()
+    made = []
+    monkeypatch.setattr(leaks, "ITEMS", 3)
+    build_index = leaks.build_index
+    monkeypatch.setattr(leaks, "build_index", lambda *a: made.append(1) or build_index(*a))
+    assert found(spark, [(1, items[2]), (2, items[11])], items) == {(1, 2), (2, 11)} and len(made) == 1
+
+
+def test_segment_round_trip():
+    texts = [["a", "b", "a"], ["c"], ["a"] * 5]
+    ids, starts, terms, counts, places = leaks.open_segment(*leaks.make_segment([7, 8, 9], texts))
+    back = {}
+    for t, n, e in zip(terms, counts, np.cumsum(counts)):
+        for p in places[e - n : e]:
+            d = int(np.searchsorted(starts, p, side="right")) - 1
+            back[int(ids[d]), int(p - starts[d])] = t
+    assert back == {(i, k): w for i, t in zip((7, 8, 9), texts) for k, w in enumerate(t)}
+
+
 def test_words():
     assert leaks.words('+ // It\\n"Quoted" café_name2 ｆｕｌｌ &quot;x&#39; soft­hyphen') == ["it", "quoted", "cafe", "name", "2", "full", "x", "softhyphen"]
