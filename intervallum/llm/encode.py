@@ -18,6 +18,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -37,15 +38,18 @@ _GEAR = np.random.default_rng(20_140_106).integers(0, 2**32, 256, dtype=np.uint3
 _WINDOW = 32  # bytes that the hash sees
 
 
+@lru_cache(maxsize=4)
 def load_ranks(path: str = VOCABULARY):
-    """The tokenizer of a rank file; texts that look like special tokens are ordinary text."""
+    """The tokenizer of a rank file, and the length of each token; texts that look like special tokens are ordinary text. Loaded once a worker."""
     import tiktoken
 
     ranks = {}
     for line in Path(path).read_bytes().splitlines():
         token, rank = line.split()
         ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    length = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+    length[list(ranks.values())] = [len(t) for t in ranks]
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), length
 
 
 def cut_points(data: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
@@ -102,17 +106,14 @@ class Encoder:
     def __init__(self, path: str = VOCABULARY, bits: int = CHUNK_BITS, shared: dict[bytes, Chunk] | None = None):
         import regex
 
-        self.ranks, self.bits, self.shared = load_ranks(path), bits, shared or {}
+        (self.ranks, self.length), self.bits, self.shared = load_ranks(path), bits, shared or {}
         self.pieces = regex.compile(PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.kind = np.uint16 if self.ranks.max_token_value < 2**16 else np.int32
-        self.length = np.zeros(self.ranks.max_token_value + 1, np.int64)
-        for token in self.ranks.token_byte_values():
-            self.length[self.ranks.encode_single_token(token)] = len(token)
         self.reused = self.encoded = self.windows = 0
 
     def plain(self, part: bytes) -> np.ndarray:
         self.encoded += len(part)
-        return self.ranks.encode_to_numpy(part.decode("utf-8"), disallowed_special=()).astype(self.kind)
+        return np.array(self.ranks.encode_ordinary(part.decode("utf-8")), self.kind)
 
     def begins(self, part: bytes, whole: bool) -> np.ndarray:
         """Where the pieces of `part` begin. Unless it is `whole`, what follows could change the last piece, so it must not end a piece."""
