@@ -1,19 +1,27 @@
 """Problem 10: the subject areas of each document, by latent semantic analysis.
 
-1. Each text becomes weighted terms (1 + log frequency, times inverse document frequency, unit length). Document frequencies
-   come from all documents; the vectors are stored once in the shared folder.
+1. Each text becomes weighted terms (1 + log frequency, times inverse document frequency, unit length). No term is dropped:
+   the `HEAD` commonest terms have a column each, all others share `TAIL` columns by signed hashing, so the width is the same
+   at every size. Terms are known by a 32-bit hash; two that meet count as one, as in the shared columns. Document
+   frequencies of all columns come from all documents; the counts are stored once in the shared folder.
 2. Truncated singular value decomposition by subspace iteration over all vectors: each pass adds up small matrices per
-   partition, in two stages; only the terms x RANK result reaches the driver (`MOST_TERMS` bounds it).
-3. Seed centroids: labelled documents (at most `MOST_LABELS` label rows) and the subjects' descriptions. They are refined
-   over all documents that lie clearly nearest to one of them, several rounds. A subject may have several centroids
-   (`PARTS`), since its documents can be of quite different kinds.
-4. A document gets every subject whose cosine similarity reaches a threshold set from the labelled documents, else its
-   nearest subject. The `rest` subject (software: no other subject) stands alone, and takes what is near to nothing.
+   partition, in two stages; only the columns x RANK result reaches the driver. Passes end when the singular values settle
+   (`SETTLED`), after `PASSES` at most.
+3. Seed centroids: labelled documents (at most `MOST_LABELS` label rows of each subject, by hash) and the subjects'
+   descriptions. They are refined over all documents that lie clearly nearest to one of them, several rounds. The `rest`
+   subject has `PARTS` centroids (as many as it has labelled documents, if those are fewer), since its documents differ most.
+4. A document gets every subject whose cosine similarity reaches a threshold set from the labelled documents (drawn towards
+   `JOINT` with the weight of `PRIOR` of them), else its nearest subject. The `rest` subject (software: no other subject)
+   stands alone, and takes what is near to nothing: cosines under `ALONE`, or under `EXPLAINED` of the text in the subspace.
+
+Terms are runs of letters of any script, cut at changes of case, without accents and plural s; in scripts without case and
+blanks, pairs of letters.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,35 +29,49 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from intervallum.tables import cut
 
-RANK, PASSES, ROUNDS, PARTS, MOST_TERMS, MOST_LABELS, LEAST_SHARE = 40, 3, 4, 4, 20_000, 20_000, 0.001
-JOINT, ALONE = 0.43, 0.15  # cosine for each of several subjects (start value), and for the nearest one
+RANK, PASSES, SETTLED, ROUNDS, PARTS, HEAD, TAIL, MOST_LABELS = 40, 8, 0.01, 4, 4, 8_192, 4_096, 2_000
+JOINT, PRIOR, ALONE, EXPLAINED = 0.43, 20, 0.15, 0.05  # cosine for each of several subjects (start value and its weight), for the nearest one, and of text and subspace
 _TERM = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
+_RUN = re.compile(r"[^\W\d_]+")
 _BLOCK = 256
 
 
+def _cut(run: str) -> list[str]:
+    """The terms of a run of letters."""
+    if not run.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", run) if not unicodedata.combining(c))
+        if not plain.isascii():
+            if plain.lower() == plain.upper():
+                return [plain[i : i + 2] for i in range(max(1, len(plain) - 1))]
+            return [plain.lower()]
+        run = plain
+    words = [w.lower() for w in _TERM.findall(run)]
+    return [w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] != "s" else w for w in words]
+
+
 class Terms(dict):
-    """Word as written -> number of its term (lower case, no plural s)."""
+    """Run of letters -> numbers of its terms."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, run: str) -> list[int]:
         if len(self) > 500_000:
             self.clear()
-        w = word.lower()
-        w = w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] != "s" else w
-        code = self[word] = zlib.crc32(w.encode()) - 2**31
-        return code
+        codes = self[run] = [zlib.crc32(w.encode()) - 2**31 for w in _cut(run)]
+        return codes
 
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array([self[w] for w in _TERM.findall(text)], np.int32)
+        codes = np.array([c for w in _RUN.findall(text) for c in self[w]], np.int32)
         return np.unique(codes, return_counts=True) if len(codes) else (codes, codes)
 
 
 def count_terms(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, terms, counts) of documents whose text is not blank; binary int32 and uint16 lists."""
+    """(k, terms, counts) of documents whose text is not blank; binary int32 and uint32 lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms()
@@ -58,7 +80,7 @@ def count_terms(documents: DataFrame, key: str, text: str) -> DataFrame:
                 few = part.slice(at, 2000)
                 both = [known.count(t) for t in few.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [few.column(0), pa.array([t.astype("<i4").tobytes() for t, _ in both], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in both], pa.binary())],
+                    [few.column(0), pa.array([t.astype("<i4").tobytes() for t, _ in both], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in both], pa.binary())],
                     ["k", "terms", "counts"],
                 )
 
@@ -68,38 +90,56 @@ def count_terms(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Term numbers in ascending order and their inverse document frequency."""
+    """Terms with a column of their own, in ascending order, and the inverse document frequency of all columns; the shared ones come last."""
 
     terms: np.ndarray
     idf: np.ndarray
 
+    def columns(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Column and sign of each term."""
+        at = np.minimum(np.searchsorted(self.terms, t), max(0, len(self.terms) - 1))
+        own = self.terms[at] == t if len(self.terms) else np.zeros(len(t), bool)
+        mixed = t.astype(np.uint32) * np.uint32(2_654_435_761)
+        return np.where(own, at, len(self.terms) + (mixed >> np.uint32(8)) % TAIL), np.where(own | (mixed & 1 == 1), 1.0, -1.0)
+
     def vectors(self, terms: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, column, weight) of the documents' unit vectors, by row."""
         size = np.array([len(x) // 4 for x in terms], np.int64)
         row = np.repeat(np.arange(len(size)), size)
-        t, c = np.frombuffer(b"".join(terms), "<i4"), np.frombuffer(b"".join(counts), "<u2")
-        if not len(self.terms) or not len(t):
+        t, c = np.frombuffer(b"".join(terms), "<i4"), np.frombuffer(b"".join(counts), "<u4")
+        if not len(t):
             return row[:0], row[:0], np.zeros(0, np.float32)
-        col = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
-        ok = self.terms[col] == t
-        row, col, c = row[ok], col[ok], c[ok]
+        col, sign = self.columns(t)
         w = (1 + np.log(c)) * self.idf[col]
         norm = np.sqrt(np.bincount(row, w * w, len(size)))
-        return row, col, (w / np.maximum(norm[row], 1e-12)).astype(np.float32)
+        return row, col, (sign * w / np.maximum(norm[row], 1e-12)).astype(np.float32)
 
 
 def vocabulary(vectors: DataFrame, documents: int) -> Vocabulary:
-    """Terms of at least `LEAST_SHARE` of the documents (three at least), the `MOST_TERMS` most frequent of them."""
+    """The `HEAD` most frequent terms, and how many documents have each column."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             t, n = np.unique(np.frombuffer(b"".join(part.terms), "<i4"), return_counts=True)
             yield pd.DataFrame({"term": t, "n": n.astype(np.int64)})
 
-    least = max(3, int(documents * LEAST_SHARE)) if documents > 30 else 1
-    seen = vectors.select("terms").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = seen.orderBy(F.col("n").desc(), "term").limit(MOST_TERMS).toPandas().sort_values("term")
-    return Vocabulary(top.term.to_numpy(np.int32), np.log((1 + documents) / top.n.to_numpy(float)) if len(top) else np.zeros(0))
+    seen = vectors.select("terms").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    top = seen.orderBy(F.col("n").desc(), "term").limit(HEAD).toPandas().sort_values("term")
+    words = Vocabulary(top.term.to_numpy(np.int32), np.zeros(0))
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(TAIL, np.int64)
+        for part in batches:
+            t = np.frombuffer(b"".join(part.terms), "<i4")
+            row = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part.terms])
+            col = words.columns(t)[0] - len(words.terms)
+            pair = np.unique(row[col >= 0] * TAIL + col[col >= 0])
+            total += np.bincount(pair % TAIL, minlength=TAIL)
+        yield pd.DataFrame({"c": np.arange(TAIL), "n": total})
+
+    tail = vectors.select("terms").mapInPandas(shared, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas().sort_values("c")
+    df = np.r_[top.n.to_numpy(float), tail.n.to_numpy(float) if len(tail) else np.zeros(TAIL)]
+    return Vocabulary(words.terms, np.log((1 + documents) / np.maximum(df, 1)))
 
 
 def _segment_sum(values: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
@@ -117,50 +157,58 @@ def project(part: pd.DataFrame, words: Vocabulary, basis: np.ndarray) -> np.ndar
     return _segment_sum(basis.astype(np.float32)[col] * w[:, None], row, len(part))
 
 
-def right_vectors(vectors: DataFrame, words: Vocabulary, rank: int = RANK, passes: int = PASSES, seed: int = 5) -> np.ndarray:
-    """The first `rank` right singular vectors of all documents (terms x rank)."""
-    size = len(words.terms)
+def right_vectors(vectors: DataFrame, words: Vocabulary, rank: int = RANK, passes: int = PASSES, seed: int = 5, settled: float = SETTLED) -> np.ndarray:
+    """The first `rank` right singular vectors of all documents (columns x rank)."""
+    size = len(words.idf)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, rank + 8))))[0]
     width = basis.shape[1]
 
     def run(basis: np.ndarray):
+        basis = basis.astype(np.float32)
+
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, seen = np.zeros((size, width)), 0
             for whole in batches:
                 for at in range(0, len(whole), 500):
                     part = whole.iloc[at : at + 500]
                     row, col, w = words.vectors(part.terms, part.counts)
-                    down = _segment_sum(basis.astype(np.float32)[col] * w[:, None], row, len(part)).astype(np.float32)
+                    down = _segment_sum(basis[col] * w[:, None], row, len(part)).astype(np.float32)
                     order = np.argsort(col, kind="stable")
                     total += _segment_sum(down[row[order]] * w[order][:, None], col[order], size)
                     seen += len(part)
             if seen:
-                salt = int(np.abs(total).sum() * 1e6) % 32
+                salt = TaskContext.get().partitionId() // 64
                 cuts = range(0, size, _BLOCK)
-                yield pd.DataFrame({"block": list(cuts), "salt": salt, "sums": [total[i : i + _BLOCK].tobytes() for i in cuts]})
+                yield pd.DataFrame({"block": list(cuts), "salt": salt, "sums": [total[i : i + _BLOCK].astype("<f4").tobytes() for i in cuts]})
 
         return go
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in part.sums)
-        return pd.DataFrame({"block": [part.block.iloc[0]], "salt": [0], "sums": [total.tobytes()]})
+        total = sum(np.frombuffer(x, "<f4").astype(float) for x in part.sums)
+        return pd.DataFrame({"block": [part.block.iloc[0]], "salt": [part.salt.iloc[0] // 64], "sums": [total.astype("<f4").tobytes()]})
 
-    schema, singular = "block int, salt int, sums binary", None
+    schema, singular, last = "block int, salt int, sums binary", None, None
     for _ in range(passes):
         parts = vectors.mapInPandas(run(basis), schema)
         sums = parts.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).toPandas()
         product = np.zeros((size, width))
         for r in sums.itertuples():
-            product[r.block : r.block + _BLOCK] = np.frombuffer(r.sums).reshape(-1, width)
+            product[r.block : r.block + _BLOCK] = np.frombuffer(r.sums, "<f4").reshape(-1, width)
         small = basis.T @ product  # Rayleigh-Ritz: rotate the basis to the singular directions
         value, turn = np.linalg.eigh((small + small.T) / 2)
         singular = turn[:, np.argsort(-value)]
         basis = np.linalg.qr(product @ singular)[0]
+        value = float(np.sort(value)[::-1][:rank].sum())
+        if last is not None and abs(value - last) <= settled * abs(value):
+            break
+        last = value
     return basis[:, : min(rank, width)]
 
 
-def unit(z: np.ndarray) -> np.ndarray:
-    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+def unit(z: np.ndarray, least: float = 1e-12) -> np.ndarray:
+    """Rows of length 1; those not longer than `least` become 0."""
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    return np.where(norm > least, z / np.maximum(norm, 1e-12), 0.0)
 
 
 @dataclass
@@ -179,7 +227,7 @@ class Centroids:
         for k, s in enumerate(self.subjects):
             own = z[[i for i, l in enumerate(labels) if l == [s]]]
             own = own[np.linalg.norm(own, axis=1) > 0]
-            parts = PARTS if s == self.rest and len(own) >= 10 * PARTS else 1
+            parts = min(PARTS, len(own)) if s == self.rest else 1
             if not len(own):
                 group = about[k : k + 1]
             elif parts == 1:
@@ -228,7 +276,8 @@ class Centroids:
         return out
 
     def set_joint(self, z: np.ndarray, labels: list[list[str]]) -> None:
-        """The threshold between second subjects and passing words, halfway between labelled documents with and without them."""
+        """The threshold between second subjects and passing words: the fewest errors on labelled documents with and without
+        them, plus those of `PRIOR` made-up documents whose second subjects and passing words meet at `JOINT`."""
         c = self.cosines(z)
         index = {s: k for k, s in enumerate(self.subjects)}
         second, passing = [], []
@@ -241,10 +290,9 @@ class Centroids:
                 passing.append(max(other))
             if len(ks) > 1:
                 second.append(c[i, ks].min())
-        if len(second) >= 20 and len(passing) >= 20:
-            steps = np.arange(0.3, 0.56, 0.005)
-            wrong = np.array([(np.array(second) < s).sum() + (np.array(passing) >= s).sum() for s in steps])
-            self.joint = float(np.mean(steps[wrong == wrong.min()]))
+        steps = np.arange(0.3, 0.56, 0.005)
+        wrong = np.array([(np.array(second) < s).sum() + (np.array(passing) >= s).sum() for s in steps]) + PRIOR * np.abs(steps - JOINT)
+        self.joint = float(np.mean(steps[wrong <= wrong.min() + 1e-9]))
 
 
 def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rest: str | None = "software", rank: int = RANK) -> DataFrame:
@@ -262,8 +310,6 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, ke
     if not n or not names:
         return empty
     words = vocabulary(vectors, n)
-    if not len(words.terms):
-        return vectors.select(F.col("k").alias(key), F.lit(rest or names[0]).alias("subject")).distinct()
     basis = right_vectors(vectors, words, rank)
     width = basis.shape[1]
 
@@ -271,17 +317,19 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, ke
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 part = whole.iloc[at : at + 1000]
-                z = unit(project(part, words, basis)).astype("<f4")
+                z = unit(project(part, words, basis), EXPLAINED).astype("<f4")
                 yield pd.DataFrame({"k": part.k.to_numpy(), "z": [x.tobytes() for x in z]})
 
     placed = cut(vectors.mapInPandas(embed, "k long, z binary"))
     unpack = lambda z: np.frombuffer(b"".join(z), "<f4").reshape(-1, width).astype(float)
-    known = labels.select(F.col(key).cast("long").alias("k"), "subject").dropna().where(F.col("subject").isin(names)).orderBy(F.xxhash64("k"), "k").limit(MOST_LABELS)
+    known = labels.select(F.col(key).cast("long").alias("k"), "subject").dropna().where(F.col("subject").isin(names)).distinct()
+    known = known.withColumn("_n", F.row_number().over(W.partitionBy("subject").orderBy(F.xxhash64("k"), "k"))).where(F.col("_n") <= MOST_LABELS)
+    known = labels.select(F.col(key).cast("long").alias("k"), "subject").dropna().where(F.col("subject").isin(names)).join(F.broadcast(known.select("k").distinct()), "k", "left_semi")  # all subjects of the chosen documents
     marked = placed.join(known.groupBy("k").agg(F.sort_array(F.collect_set("subject")).alias("own")), "k").toPandas()
     z, own = unpack(marked.z), [list(x) for x in marked.own]
     tokens = Terms()
     counted = [tokens.count(f"{s} {info[s]}") for s in names]
-    about = unit(project(pd.DataFrame({"terms": [t.astype("<i4").tobytes() for t, _ in counted], "counts": [c.astype("<u2").tobytes() for _, c in counted]}), words, basis))
+    about = unit(project(pd.DataFrame({"terms": [t.astype("<i4").tobytes() for t, _ in counted], "counts": [c.astype("<u4").tobytes() for _, c in counted]}), words, basis))
     model = Centroids(names, rest if rest in names else None)
     model.seed(z, own, about)
 

@@ -67,10 +67,10 @@ def test_right_vectors_are_singular(spark):
     d, *_ = tables(spark)
     v = subjects.count_terms(d, "doc_id", "text")
     words = subjects.vocabulary(v, 160)
-    basis = subjects.right_vectors(v, words, 6, passes=8)
+    basis = subjects.right_vectors(v, words, 6, passes=8, settled=0)
     part = v.toPandas()
     row, col, w = words.vectors(part.terms, part.counts)
-    x = np.zeros((160, len(words.terms)))
+    x = np.zeros((160, len(words.idf)))
     x[row, col] = w
     s = np.linalg.svd(x, compute_uv=False)
     assert np.allclose(np.linalg.norm(x @ basis, axis=0), s[:6], rtol=0.02)
