@@ -68,20 +68,28 @@ def _united(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _first_union(width: int):
+    """Intervals united per entity, cut into shards, and packed; `BLOCK` pieces at a time, however long the intervals are."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             if not len(part):
                 continue
             low, high = 2 * np.minimum(part.s, part.e).to_numpy(), 2 * np.maximum(part.s, part.e).to_numpy()
-            a, b = low // width, high // width
-            count = (b - a + 1).astype(int)
-            row = np.repeat(np.arange(len(part)), count)
-            shard = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            lo, hi = np.maximum(low[row], shard * width), np.minimum(high[row], (shard + 1) * width - 1)
-            keys = pd.DataFrame({"entity": part.entity.to_numpy()[row], "shard": shard})
-            code = pd.MultiIndex.from_frame(keys).factorize()[0]
-            first = keys[~pd.Series(code).duplicated().to_numpy()].reset_index(drop=True)
-            yield _pack(first, *unite(code, lo, hi))
+            code, names = part.entity.factorize()
+            who, low, high = unite(code, low, high)
+            first, last = low // width, high // width
+            total = np.cumsum(last - first + 1)
+            at = 0
+            while at < len(who):
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK, side="right")))
+                count = (last - first + 1)[at:end].astype(int)
+                row = np.repeat(np.arange(at, end), count)
+                shard = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                lo, hi = np.maximum(low[row], shard * width), np.minimum(high[row], (shard + 1) * width - 1)
+                new = np.r_[True, (who[row][1:] != who[row][:-1]) | (shard[1:] != shard[:-1])]  # in order of entity and time
+                keys = pd.DataFrame({"entity": names.to_numpy()[who[row[new]]], "shard": shard[new]})
+                yield _pack(keys, np.cumsum(new) - 1, lo, hi)
+                at = end
 
     return run
 
