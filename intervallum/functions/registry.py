@@ -22,6 +22,14 @@ def parse_duration(text: str) -> float:
     return float(sum(int(n) * SECONDS[u] for n, u in parts))
 
 
+def duration(text: Column) -> Column:
+    """The same of a column; null for other texts."""
+    t, part = F.trim(text), F.lit(r"(\d+)\s*([smhdwMy])")
+    of = F.create_map(*[F.lit(x) for u, n in SECONDS.items() for x in (u, float(n))])
+    each = F.zip_with(F.regexp_extract_all(t, part, F.lit(1)), F.regexp_extract_all(t, part, F.lit(2)), lambda n, u: n.cast("double") * of[u])
+    return F.when(t.rlike(r"^(?:\d+\s*[smhdwMy]\s*)+$"), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
+
+
 @dataclass(frozen=True)
 class Scalar:
     name: str

@@ -1,22 +1,29 @@
 """Operators of the definition families that work on streams: raw concepts to contexts, and global clipping.
 
 Each takes a definition and the frame of its sources (all patients at once) and returns a lazy frame; see exprs.FRAME.
-Ties of time are broken by `ord`, the ordinal of the input row, which is unique within a patient and concept.
+Ties of time are broken by `ord`, the ordinal of the input row, which is unique within a patient and concept. Windows along
+time work in slices of a patient's time (see slices.py), never on a whole patient.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from intervallum.functions.exprs import FRAME, element, event_label, instant, micros, number, overlaps, plus, state_label
+from intervallum.functions.exprs import FRAME, element, event_label, instant, micros, number, state_label
 from intervallum.functions.registry import call
+from intervallum.operators.slices import DAY, carried, overlap_join, own_window, run_starts, with_halo, with_slices
 from intervallum.plans import model as M
 
 MICRO = 1_000_000
+#: Width of the slices in which intervals meet; contexts last hours to weeks.
+WIDE = 7 * DAY
+#: Later than any time (microseconds).
+FAR = 2**62
 
 
 def frame(df: DataFrame, concept: str | Column, value: Column, kind: str, start: Column | str = "start", end: Column | str = "end") -> DataFrame:
@@ -71,27 +78,30 @@ def resolve_dynamic(rows: DataFrame, params: DataFrame, p: M.Parameter, out: str
     """`rows` with `out`: element idx of the parameter row nearest in time to each row's start, as text, else the default.
 
     how=before: strictly before; how=all: either side, at equal distance the earlier row. One sorted window over both
-    streams, no range join.
+    streams in each slice, with the last (next) parameter of the slices before (after); no range join.
     """
     events = params.groupBy("patient_id", F.col("start").alias("_t")).agg(
         F.max_by(element(p.idx), "ord").alias("_last"), F.min_by(element(p.idx), "ord").alias("_first")
     )
     known = events.select("patient_id", micros("_t").alias("_at"), F.struct(micros("_t").alias("t"), F.col("_last").alias("v")).alias("_p"), F.struct(micros("_t").alias("t"), F.col("_first").alias("v")).alias("_q"))
-    both = rows.withColumn("_at", micros("start")).unionByName(known, allowMissingColumns=True)
-    w = W.partitionBy("patient_id").orderBy("_at")
-    before = F.last("_p", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1))
+    both = with_slices(rows.withColumn("_at", micros("start")).unionByName(known, allowMissingColumns=True), F.col("_at"))
+    w = own_window("_at")
     if p.how == "before":
+        both = carried(both, {"_lp": F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("_at")))})
+        before = F.coalesce(F.last("_p", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1)), F.col("_lp"))
         pick = F.when(F.col("_at") - before["t"] <= F.lit(round(p.good_before * MICRO)), before["v"]) if p.good_before is not None else before["v"]
     else:
+        there = F.when(F.col("_q").isNotNull(), F.col("_at"))
+        both = carried(both, {"_lq": F.max_by("_q", there)}, {"_fq": F.min_by("_q", there)})
         same = F.first("_q", ignorenulls=True).over(w.rangeBetween(0, 0))
-        after = F.first("_q", ignorenulls=True).over(w.rangeBetween(1, W.unboundedFollowing))
-        earlier = F.last("_q", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1))
+        after = F.coalesce(F.first("_q", ignorenulls=True).over(w.rangeBetween(1, W.unboundedFollowing)), F.col("_fq"))
+        earlier = F.coalesce(F.last("_q", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, -1)), F.col("_lq"))
         gap_b, gap_a = F.col("_at") - earlier["t"], after["t"] - F.col("_at")
         ok_b = gap_b <= round(p.good_before * MICRO) if p.good_before is not None else gap_b.isNotNull()
         ok_a = gap_a <= round(p.good_after * MICRO) if p.good_after is not None else gap_a.isNotNull()
         b, a = F.when(ok_b, gap_b), F.when(ok_a, gap_a)
         pick = F.when(same.isNotNull(), same["v"]).when(b.isNotNull() & (a.isNull() | (b <= a)), earlier["v"]).when(a.isNotNull(), after["v"])
-    return both.withColumn(out, F.coalesce(pick, _default(p))).where(F.col("ord").isNotNull()).drop("_at", "_p", "_q")
+    return both.withColumn(out, F.coalesce(pick, _default(p))).where(F.col("ord").isNotNull()).drop("_at", "_p", "_q", "_lp", "_lq", "_fq", "_slice")
 
 
 def _nearest_at(times: DataFrame, params: DataFrame, p: M.Parameter, out: str) -> DataFrame:
@@ -113,8 +123,9 @@ def parameterized_concept(d: M.ParameterizedConcept, sources: DataFrame) -> Data
             continue
         if p.name == d.parent.name and p.how == "before":
             # baseline: the first row of the parent, which is not itself given out
-            w = W.partitionBy("patient_id").orderBy("start", "ord")
-            rows = rows.withColumn(out, F.first(element(p.idx)).over(w)).withColumn("_n", F.row_number().over(w)).where("_n > 1").drop("_n")
+            place = F.struct("start", "ord")
+            first = rows.groupBy("patient_id").agg(F.min_by(element(p.idx), place).alias(out), F.min(place).alias("_place"))
+            rows = rows.join(first, "patient_id").where(place > F.col("_place")).drop("_place")
             continue
         if p.default is None and p.name != d.parent.name:
             first = own.groupBy("patient_id").agg(F.min("start").alias("_first"))
@@ -176,74 +187,88 @@ def state(d: M.State, source: DataFrame) -> DataFrame:
 
     A sample joins the open interval if its label is the same and it starts within good_after of the interval's start. With
     interpolation one differing sample is passed over if the next one joins. The interval ends good_after after its last
-    sample, or where the next sample starts. The fold runs inside runs of samples that can touch each other (cut at gaps
-    over good_after and, without interpolation, at changes of label), so that it never gathers a whole patient.
+    sample, or where the next sample starts. The fold goes through runs of samples that can touch each other (cut at gaps
+    over good_after and, without interpolation, at changes of label); each run is read in order, none is held in memory.
     """
     reach = round(d.good_after * MICRO)
     smooth = d.interpolate and d.max_skip >= 1
     samples = source.where(F.col("concept") == d.parent.name).select("patient_id", micros("start").alias("s"), "ord", state_label(d.rules).alias("label")).where(F.col("label").isNotNull())
-    w = W.partitionBy("patient_id").orderBy("s", "ord")
-    near = samples.withColumn("ns", F.lead("s").over(w)).withColumn("nl", F.lead("label").over(w)).withColumn("_ps", F.lag("s").over(w)).withColumn("_pl", F.lag("label").over(w))
+    near, w = with_halo(samples, F.col("s"), reach, reach), own_window("s", "ord")
+    near = near.withColumn("ns", F.lead("s").over(w)).withColumn("nl", F.lead("label").over(w)).withColumn("_ps", F.lag("s").over(w)).withColumn("_pl", F.lag("label").over(w)).where("_own")
     new = F.col("_ps").isNull() | (F.col("s") - F.col("_ps") > reach)
     if not smooth:
         new = new | (F.col("label") != F.col("_pl"))
-    runs = near.withColumn("_run", F.sum(new.cast("int")).over(w)).groupBy("patient_id", "_run").agg(F.array_sort(F.collect_list(F.struct("s", "ord", "label", "ns", "nl"))).alias("x"))
-    folded = runs.select("patient_id", F.inline(_fold_states(F.col("x"), reach, smooth)))
+    runs = run_starts(near, new, "s").select("patient_id", F.col("_run.t").alias("run_s"), F.col("_run.ord").alias("run_ord"), "s", "ord", "label", F.coalesce("ns", F.lit(FAR)).alias("ns"), "nl")
+    keys = ["patient_id", "run_s", "run_ord"]
+    folded = runs.repartition(*keys).sortWithinPartitions(*keys, "s", "ord").mapInPandas(_fold_states(reach, smooth), "patient_id long, s long, e long, label string, ord long")
     return frame(folded, d.name, F.array("label"), d.family, instant(F.col("s")), instant(F.col("e")))
 
 
-def _fold_states(x: Column, reach: int, smooth: bool) -> Column:
-    one = lambda c, e: F.struct(c["s"].alias("s"), e.alias("e"), c["label"].alias("label"), c["ord"].alias("ord"))
-    first = F.get(x, F.lit(0))
-    open_ = F.struct(first["s"].alias("s"), first["s"].alias("last"), first["label"].alias("label"), first["ord"].alias("ord"))
-    empty = F.expr("cast(array() as array<struct<s:bigint,e:bigint,label:string,ord:bigint>>)")
-
-    def step(acc: Column, r: Column) -> Column:
-        cur = acc["cur"]
-        inside = r["s"] <= cur["s"] + reach
-        joins = inside & (r["label"] == cur["label"])
-        over = (inside & (r["nl"] == cur["label"]) & (r["ns"] <= cur["s"] + reach)) if smooth else F.lit(False)
-        moved = F.struct(cur["s"].alias("s"), r["s"].alias("last"), cur["label"].alias("label"), cur["ord"].alias("ord"))
-        fresh = F.struct(r["s"].alias("s"), r["s"].alias("last"), r["label"].alias("label"), r["ord"].alias("ord"))
-        closed = F.concat(acc["done"], F.array(one(cur, F.least(cur["last"] + reach, r["s"]))))
-        stays = joins | F.coalesce(over, F.lit(False))
-        return F.struct(F.when(stays, acc["done"]).otherwise(closed).alias("done"), F.when(joins, moved).when(F.coalesce(over, F.lit(False)), cur).otherwise(fresh).alias("cur"))
-
-    def finish(acc: Column) -> Column:
-        cur = acc["cur"]
-        return F.concat(acc["done"], F.array(one(cur, F.least(cur["last"] + reach, F.element_at(x, -1)["ns"]))))
-
-    return F.aggregate(F.slice(x, F.lit(2), F.size(x)), F.struct(empty.alias("done"), open_.alias("cur")), step, finish)
+def _fold_states(reach: int, smooth: bool):
+    """The anchored merge over rows sorted by run and time; one open interval is all that is kept."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = open_ = None  # open_: start, last sample, label, ord; next_: start of the sample after the last one read
+        patient, next_ = 0, FAR
+        for part in batches:
+            out: list[tuple] = []
+            rows = zip(*[part[c].tolist() for c in ("patient_id", "run_s", "run_ord", "s", "ord", "label", "ns", "nl")])
+            for p, run_s, run_ord, s, ord_, label, after, after_label in rows:
+                if (p, run_s, run_ord) != key:
+                    if key is not None:
+                        out.append((patient, open_[0], min(open_[1] + reach, next_), open_[2], open_[3]))
+                    key, patient, open_ = (p, run_s, run_ord), p, (s, s, label, ord_)
+                elif s <= open_[0] + reach and label == open_[2]:
+                    open_ = (open_[0], s, label, open_[3])
+                elif not (smooth and s <= open_[0] + reach and after_label == open_[2] and after <= open_[0] + reach):
+                    out.append((p, open_[0], min(open_[1] + reach, s), open_[2], open_[3]))
+                    open_ = (s, s, label, ord_)
+                next_ = after
+            yield pd.DataFrame(out, columns=["patient_id", "s", "e", "label", "ord"])
+        if key is not None:
+            yield pd.DataFrame([(patient, open_[0], min(open_[1] + reach, next_), open_[2], open_[3])], columns=["patient_id", "s", "e", "label", "ord"])
+
+    return run
 
 
 # --- trends ----------------------------------------------------------------------------------------------------------
 
 
-def trend_points(d: M.Trend, source: DataFrame) -> DataFrame:
-    """(patient_id, t, ord, slope, label) of each sample: least squares over the trailing time_steady, then the class.
-
-    Time counts in whole seconds from the patient's first sample; both axes are centred for precision. Fewer than two
-    samples, or samples at one time only, are Steady. Samples at the same instant see each other.
-    """
+def _points(d: M.Trend, source: DataFrame, halo: int) -> DataFrame:
+    """The samples with t, y, slope and label in slices that see `halo` and time_steady before them; see trend_points()."""
     rows = source.where(F.col("concept") == d.parent.name).select("patient_id", micros("start").alias("t"), "ord", number(element(d.parent.idx)).alias("y")).where(F.col("y").isNotNull())
-    whole = W.partitionBy("patient_id").orderBy("t", "ord")
+    steady = round(d.time_steady * MICRO)
+    began = rows.groupBy("patient_id").agg(F.min("t").alias("_began"))
+    rows = with_halo(rows.join(began, "patient_id"), F.col("t"), steady + halo)
+    whole = own_window("t", "ord")
     rows = rows.withColumn("_t0", F.first("t").over(whole)).withColumn("_y0", F.first("y").over(whole))
-    x, y = F.floor((F.col("t") - F.col("_t0")) / MICRO).cast("double"), F.col("y") - F.col("_y0")
-    w = W.partitionBy("patient_id").orderBy("t").rangeBetween(-round(d.time_steady * MICRO), 0)
+    second = lambda t: F.floor((F.col(t) - F.col("_began")) / MICRO)
+    x, y = (second("t") - second("_t0")).cast("double"), F.col("y") - F.col("_y0")
+    w = own_window("t").rangeBetween(-steady, 0)
     rows = rows.withColumn("_x", x).withColumn("_y", y)
     spread = F.regr_sxx("_y", "_x").over(w)
     slope = F.when((F.count("_x").over(w) >= 2) & (spread > 1e-10), F.regr_slope("_y", "_x").over(w)).otherwise(0.0)
     change = F.round(F.col("slope") * d.time_steady, 9)
     label = F.when(change >= d.significant, "Increasing").when(change <= -d.significant, "Decreasing").otherwise("Steady")
-    return rows.withColumn("slope", slope).select("patient_id", "t", "ord", "slope", label.alias("label"))
+    return rows.withColumn("slope", slope).withColumn("label", label)
+
+
+def trend_points(d: M.Trend, source: DataFrame) -> DataFrame:
+    """(patient_id, t, ord, slope, label) of each sample: least squares over the trailing time_steady, then the class.
+
+    Time counts in whole seconds from the patient's first sample; both axes are centred for precision. Fewer than two
+    samples, or samples at one time only, are Steady. Samples at the same instant see each other.
+    """
+    return _points(d, source, 0).where("_own").select("patient_id", "t", "ord", "slope", "label")
 
 
 def trend(d: M.Trend, source: DataFrame) -> DataFrame:
     """Intervals between successive samples not over good_after apart, labelled by the later one; equal neighbours merge."""
-    w = W.partitionBy("patient_id").orderBy("t", "ord")
-    pieces = trend_points(d, source).withColumn("_from", F.lag("t").over(w)).where((F.col("t") - F.col("_from")) <= round(d.good_after * MICRO))
-    new = F.lag("t").over(w).isNull() | (F.lag("t").over(w) != F.col("_from")) | (F.lag("label").over(w) != F.col("label"))
-    runs = pieces.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
+    reach = round(d.good_after * MICRO)
+    w = own_window("t", "ord")
+    rows = _points(d, source, 2 * reach).withColumn("_from", F.lag("t").over(w)).withColumn("_before", F.lag("t", 2).over(w)).withColumn("_label", F.lag("label").over(w))
+    pieces = rows.where("_own").where(F.col("t") - F.col("_from") <= reach)
+    new = ~F.coalesce((F.col("_from") - F.col("_before") <= reach) & (F.col("_label") == F.col("label")), F.lit(False))
+    runs = run_starts(pieces, new, "t")
     merged = runs.groupBy("patient_id", "_run").agg(F.min("_from").alias("s"), F.max("t").alias("e"), F.first("label").alias("label"), F.min("ord").alias("ord"))
     return frame(merged, d.name, F.array("label"), d.family, instant(F.col("s")), instant(F.col("e")))
 
@@ -269,8 +294,10 @@ def context_windows(d: M.Context, sources: DataFrame) -> DataFrame:
 
 def self_clip(contexts: DataFrame) -> DataFrame:
     """Each interval ends where the next of its patient and concept starts; empty ones are dropped."""
-    w = W.partitionBy("patient_id", "concept").orderBy("start", "ord")
-    return contexts.withColumn("end", F.least("end", F.lead("start").over(w))).where(F.col("start") < F.col("end"))
+    keys = ("patient_id", "concept")
+    rows = carried(with_slices(contexts, micros("start"), DAY, keys), {}, {"_later": F.min("start")}, keys)
+    after = F.coalesce(F.lead("start").over(own_window("start", "ord", keys=keys)), F.col("_later"))
+    return rows.withColumn("end", F.least("end", after)).where(F.col("start") < F.col("end")).select(*contexts.columns)
 
 
 def clip_by(contexts: DataFrame, clippers: DataFrame, before: float | None, after: float | None) -> DataFrame:
@@ -279,11 +306,11 @@ def clip_by(contexts: DataFrame, clippers: DataFrame, before: float | None, afte
     A clipper that starts inside trims the end to its left border; one that started before moves the start to its right border.
     """
     left, right = round((before or 0) * MICRO), round((after or 0) * MICRO)
-    zones = clippers.select(F.col("patient_id").alias("_p"), micros("start").alias("_cs"), micros("end").alias("_ce"), F.col("ord").alias("_co"))
+    zones = clippers.select(F.col("patient_id").alias("_rp"), micros("start").alias("_cs"), micros("end").alias("_ce"), F.col("ord").alias("_co"))
     rows = contexts.withColumn("_s", micros("start")).withColumn("_e", micros("end"))
-    touch = (F.col("patient_id") == F.col("_p")) & (F.col("_cs") - left <= F.col("_e")) & (F.col("_ce") + right >= F.col("_s"))
     keys = ["patient_id", "concept", "start", "end", "value", "kind", "ord", "_s", "_e"]
-    hits = rows.join(zones, touch, "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_cs").isNotNull(), F.struct("_cs", "_co", "_ce")))).alias("_z"))
+    touched = overlap_join(rows, zones, (F.col("_s"), F.col("_e")), (F.col("_cs") - left, F.col("_ce") + right), WIDE, "left")
+    hits = touched.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("_cs").isNotNull(), F.struct("_cs", "_co", "_ce")))).alias("_z"))
 
     def step(acc: Column, z: Column) -> Column:
         inside = acc["s"] < z["_cs"]
@@ -306,16 +333,11 @@ def context(d: M.Context, sources: DataFrame) -> DataFrame:
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """(patient_id, start, end) of the common parts of two interval sets; touching intervals share an instant."""
-    l, r = a.select("patient_id", "start", "end"), b.select(F.col("patient_id").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    both = l.join(r, (F.col("patient_id") == F.col("_p")) & overlaps(F.col("start"), F.col("end"), F.col("_s"), F.col("_e")))
+    l, r = a.select("patient_id", "start", "end"), b.select(F.col("patient_id").alias("_rp"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    both = overlap_join(l, r, (micros("start"), micros("end")), (micros("_s"), micros("_e")), WIDE)
     return both.select("patient_id", F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end")).distinct()
 
 
-def normalised(intervals: DataFrame) -> DataFrame:
-    """Intervals with start and end in order."""
-    return intervals.withColumns({"start": F.least("start", "end"), "end": F.greatest("start", "end")})
-
-
 # --- global clipping -------------------------------------------------------------------------------------------------
 
 

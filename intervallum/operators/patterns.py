@@ -1,21 +1,28 @@
 """Pattern operators: greedy one-to-one matching of anchors and events, and cyclic windows with compliance scores.
 
-Rows are matched within (patient, stretch): a stretch is a part of the patient's time that no pair can cross, found by one
-window over the candidates. So joins and folds stay small even where one patient holds much of the data.
+Anchors and events meet in slices of the patient's time as wide as their greatest distance, gates and clippers are looked up by
+running values (see slices.py), and the greedy choice goes through the sorted pairs of a stretch: a part of the patient's time
+that no pair can cross. So no window, join or list ever holds a whole patient, unless its pairs hang together without a gap;
+such a stretch is read by one task, in order, keeping only which anchors and events are taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from intervallum.functions.exprs import candidate, combined_score, compliance_score, element, fulfilment, instant, micros, number, overlaps
-from intervallum.functions.registry import parse_duration
-from intervallum.operators.families import MICRO, intersect
+from intervallum.functions.exprs import candidate, combined_score, compliance_score, element, fulfilment, instant, micros, number
+from intervallum.functions.registry import duration, parse_duration
+from intervallum.operators.families import MICRO, WIDE, intersect
+from intervallum.operators.slices import DAY, next_at, overlap_join, reached, with_stretches
 from intervallum.plans import model as M
+from intervallum.tables import cut
 
 SCORES = ("time_score", "value_score", "cyclic_score")
 OUT = ("patient_id", "concept", "start", "end", "value", "kind", "ord", *SCORES)
@@ -36,7 +43,7 @@ def parameter_values(d: M.Pattern, rows: DataFrame) -> tuple[DataFrame | None, d
     of = {p.ref: f"_p_{i}" for i, p in enumerate(d.parameters)}
     first = lambda p: F.min_by(F.when(F.col("concept") == p.name, element(p.idx)), F.when(F.col("concept") == p.name, F.struct(F.col("start"), F.col("ord"))))
     found = rows.where(F.col("concept").isin([p.name for p in d.parameters])).groupBy("patient_id").agg(*[first(p).alias(of[p.ref]) for p in d.parameters])
-    return found, {p.ref: F.coalesce(number(F.col(of[p.ref])), F.lit(_number(p.default))) for p in d.parameters}
+    return found, {p.ref: F.coalesce(number(F.col(of[p.ref])), duration(F.col(of[p.ref])), F.lit(_number(p.default))) for p in d.parameters}
 
 
 def _number(text: str | None) -> float | None:
@@ -61,15 +68,8 @@ def gated(rows: DataFrame, contexts: DataFrame | None, start: str, end: str) ->
     """Rows whose closed interval touches one of the contexts."""
     if contexts is None:
         return rows
-    c = contexts.select(F.col("patient_id").alias("_gp"), F.col("start").alias("_gs"), F.col("end").alias("_ge"))
-    return rows.join(c, (F.col("patient_id") == F.col("_gp")) & overlaps(F.col(start), F.col(end), F.col("_gs"), F.col("_ge")), "left_semi")
-
-
-def with_stretches(rows: DataFrame, reach: int) -> DataFrame:
-    """`rows` with `stretch`: rows of different stretches are more than `reach` microseconds apart."""
-    w = W.partitionBy("patient_id").orderBy("_s", "ord")
-    ended = F.max("_e").over(w.rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("_s", micros("start")).withColumn("_e", micros("end")).withColumn("_cut", F.coalesce(F.col("_s") > ended + reach, F.lit(True)).cast("int")).withColumn("stretch", F.sum("_cut").over(w))
+    near = reached(rows, micros(end), contexts, micros("start"), micros("end"))
+    return near.where(F.col("_reach") >= micros(start)).drop("_reach")
 
 
 def _value_score(fit: M.Compliance, d: M.Pattern, parameters: dict[str, Column]) -> Column:
@@ -88,13 +88,12 @@ def pairs(r: M.LocalRule, number_: int, rows: DataFrame, refs: dict[str, tuple[s
         "patient_id", "stretch", _identity().alias(f"{p}_id"), F.col("concept").alias(f"{p}_concept"), F.col("value").alias(f"{p}_value"), F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end"), F.col("_s").alias(f"{p}_s"), F.col("_e").alias(f"{p}_e"), F.col("ord").alias(f"{p}_ord")
     )
     anchors = gated(side("a", candidate(r.anchor, refs)), contexts, "a_start", "a_end").withColumn("rule", F.lit(number_))
-    events = side("e", candidate(r.event, refs)).withColumnRenamed("patient_id", "_ep").withColumnRenamed("stretch", "_es")
-    gap = F.col("e_s") - F.col("a_e")
+    events = side("e", candidate(r.event, refs)).withColumnRenamed("patient_id", "_rp").drop("stretch")
     if r.how == "before":
-        fits = (gap > 0) & (gap >= round(r.min_distance * MICRO)) & (gap <= round(r.max_distance * MICRO))
+        least, most = max(1, round(r.min_distance * MICRO)), round(r.max_distance * MICRO)
+        both = overlap_join(anchors, events, (F.col("a_e") + least, F.col("a_e") + most), (F.col("e_s"), F.col("e_s")), max(DAY, most))
     else:
-        fits = (F.col("a_s") <= F.col("e_e")) & (F.col("e_s") <= F.col("a_e")) & (F.col("a_id") != F.col("e_id"))
-    both = anchors.join(events, (F.col("patient_id") == F.col("_ep")) & (F.col("stretch") == F.col("_es")) & fits)
+        both = overlap_join(anchors, events, (F.col("a_s"), F.col("a_e")), (F.col("e_s"), F.col("e_e")), WIDE).where(F.col("a_id") != F.col("e_id"))
     turn = lambda select, c: -F.col(c) if select == "last" else F.col(c)
     return anchors, both.withColumn("a_key", turn(r.anchor_select, "a_s")).withColumn("e_key", turn(r.event_select, "e_s"))
 
@@ -103,17 +102,25 @@ _PAIR = "rule:int,a_key:bigint,a_ord:bigint,e_key:bigint,e_ord:bigint,a_id:bigin
 
 
 def greedy(all_pairs: DataFrame) -> DataFrame:
-    """One-to-one matches: pairs in order of rule, anchor and event, each taken if neither side is taken yet."""
+    """One-to-one matches: pairs in order of rule, anchor and event, each taken if neither side is taken yet. One sort, one pass."""
     names = [f.split(":")[0] for f in _PAIR.split(",")]
-    lists = all_pairs.groupBy("patient_id", "stretch").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("x"))
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("a"), F.expr("cast(array() as array<bigint>)").alias("e"), F.expr(f"cast(array() as array<struct<{_PAIR}>>)").alias("kept"))
+    columns = ["patient_id", "stretch", *names]
 
-    def step(acc: Column, p: Column) -> Column:
-        free = ~F.array_contains(acc["a"], p["a_id"]) & ~F.array_contains(acc["e"], p["e_id"])
-        taken = F.struct(F.concat(acc["a"], F.array(p["a_id"])).alias("a"), F.concat(acc["e"], F.array(p["e_id"])).alias("e"), F.concat(acc["kept"], F.array(p)).alias("kept"))
-        return F.when(free, taken).otherwise(acc)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, anchors, events = None, set(), set()
+        for part in batches:
+            keep = np.zeros(len(part), bool)
+            for i, (p, stretch, a, e) in enumerate(zip(part.patient_id.tolist(), part.stretch.tolist(), part.a_id.tolist(), part.e_id.tolist())):
+                if (p, stretch) != key:
+                    key, anchors, events = (p, stretch), set(), set()
+                if a not in anchors and e not in events:
+                    keep[i] = True
+                    anchors.add(a)
+                    events.add(e)
+            yield part[keep]
 
-    return lists.select("patient_id", "stretch", F.inline(F.aggregate("x", start, step, lambda acc: acc["kept"])))
+    ordered = all_pairs.select(*columns).repartition("patient_id", "stretch").sortWithinPartitions(*columns)
+    return ordered.mapInPandas(run, ordered.schema)
 
 
 def local_pattern(d: M.LocalPattern, sources: DataFrame) -> DataFrame:
@@ -126,6 +133,7 @@ def local_pattern(d: M.LocalPattern, sources: DataFrame) -> DataFrame:
     rows = sources.where(F.col("concept").isin([s.name for s in d.sources()]))
     found, values = parameter_values(d, rows)
     used = rows.where(reduce(lambda a, b: a | b, [candidate((*r.anchor, *r.event), refs) for r in d.rules]))
+    used = used.withColumn("_s", micros("start")).withColumn("_e", micros("end"))
     placed = with_stretches(used, max(round((r.max_distance or 0) * MICRO) for r in d.rules))
     timed = any(r.time or r.existence for r in d.rules)
     valued = any(r.value for r in d.rules)
@@ -141,7 +149,7 @@ def local_pattern(d: M.LocalPattern, sources: DataFrame) -> DataFrame:
         missing_time = 0.0 if r.existence and r.how == "overlap" else r.time.trapezoid.missing_score if r.time else None
         missing_value = r.value.trapezoid.missing_score if r.value else None
         all_anchors.append(anchors.select("patient_id", "stretch", "rule", "a_id", "a_s", "a_ord", F.lit(missing_time).cast("double").alias("time_score"), F.lit(missing_value).cast("double").alias("value_score")))
-    kept = greedy(reduce(DataFrame.unionByName, all_pairs))
+    kept = cut(greedy(reduce(DataFrame.unionByName, all_pairs)))  # read three times
     label = fulfilment(combined_score(F.col("time_score"), F.col("value_score")))
     none = F.lit(None).cast("double").alias("cyclic_score")
 
@@ -156,8 +164,8 @@ def local_pattern(d: M.LocalPattern, sources: DataFrame) -> DataFrame:
     taken = kept.select(F.col("patient_id").alias("_kp"), F.col("stretch").alias("_ks"), F.col("a_id").alias("_ka"), F.col("rule").alias("_kr"))
     open_ = anchors.join(taken, (F.col("patient_id") == F.col("_kp")) & (F.col("stretch") == F.col("_ks")) & (F.col("a_id") == F.col("_ka")) & (F.col("_kr") <= F.col("rule")), "left_anti")
     first = open_.withColumn("_n", F.row_number().over(W.partitionBy("patient_id", "stretch", "a_id").orderBy("rule"))).where("_n = 1")
-    spans = kept.select(F.col("patient_id").alias("_kp"), F.col("stretch").alias("_ks"), F.col("a_s").alias("_from"), F.col("e_e").alias("_to"))
-    left = first.join(spans, (F.col("patient_id") == F.col("_kp")) & (F.col("stretch") == F.col("_ks")) & (F.col("a_s") >= F.col("_from")) & (F.col("a_s") < F.col("_to")), "left_anti")
+    spans = reached(first, F.col("a_s"), kept, F.col("a_s"), F.col("e_e"))
+    left = spans.where(F.coalesce(F.col("_reach") <= F.col("a_s"), F.lit(True))).drop("_reach")
     return matched.unionByName(out(left, "a_s", "a_ord", label if timed or valued else F.lit("False")))
 
 
@@ -172,9 +180,8 @@ def episodes(r: M.CyclicRule, number_: int, rows: DataFrame, horizon: DataFrame,
         starts = horizon.withColumn("init", F.col("h_start"))
     ep = starts.withColumn("ep_start", F.greatest(F.col("init") + round(r.start * MICRO), "h_start")).withColumn("ep_end", F.least(F.col("init") + round(r.end * MICRO), "h_end"))
     if r.clipper:
-        c = rows.where(candidate(r.clipper, refs)).select(F.col("patient_id").alias("_cp"), micros("start").alias("_cs"))
-        first = ep.join(c, (F.col("patient_id") == F.col("_cp")) & (F.col("_cs") >= F.col("init")), "left").groupBy("patient_id", "init", "ep_start", "ep_end").agg(F.min("_cs").alias("_cs"))
-        ep = first.withColumn("ep_end", F.least("ep_end", "_cs"))
+        ep = next_at(ep, F.col("init"), rows.where(candidate(r.clipper, refs)), micros("start"), "_cs")
+        ep = ep.withColumn("ep_end", F.least("ep_end", "_cs"))
     return ep.where(F.col("ep_end") - F.col("ep_start") >= round(r.window * MICRO)).select("patient_id", F.lit(number_).alias("rule"), "init", "ep_start", "ep_end")
 
 
@@ -202,9 +209,9 @@ def global_pattern(d: M.GlobalPattern, sources: DataFrame) -> DataFrame:
             for t in fit.targets:
                 name, idx = refs[t]
                 x = F.when(F.col("concept") == name, number(element(idx))) if x is None else x.when(F.col("concept") == name, number(element(idx)))
-        event = rows.where(candidate(r.event, refs)).select(F.col("patient_id").alias("_p"), micros("start").alias("_t"), _identity().alias("e_id"), (x if x is not None else F.lit(None)).cast("double").alias("x"))
+        event = rows.where(candidate(r.event, refs)).select("patient_id", micros("start").alias("_t"), _identity().alias("e_id"), (x if x is not None else F.lit(None)).cast("double").alias("x"))
         w = round(r.window * MICRO)
-        at = event.join(ep, (F.col("patient_id") == F.col("_p")) & (F.col("_t") >= F.col("ep_start")) & (F.col("_t") < F.col("ep_end")))
+        at = overlap_join(event, ep.withColumnRenamed("patient_id", "_rp"), (F.col("_t"), F.col("_t")), (F.col("ep_start"), F.col("ep_end") - 1), WIDE)
         hits.append(at.withColumn("ws", F.col("ep_start") + F.floor((F.col("_t") - F.col("ep_start")) / w) * w).select("patient_id", "rule", "init", "ws", "e_id", "x"))
     all_windows = reduce(DataFrame.unionByName, wins)
     own = all_windows.withColumn("_n", F.row_number().over(W.partitionBy("patient_id", "ws", "we").orderBy("rule", "init"))).where("_n = 1").drop("_n")
@@ -229,7 +236,7 @@ def global_pattern(d: M.GlobalPattern, sources: DataFrame) -> DataFrame:
             value = F.when(mine, F.coalesce("_avg", F.lit(0.0))).otherwise(value)
     done = full.withColumn("cyclic_score", cyclic).withColumn("value_score", value).withColumn("_met", met)
     label = fulfilment(combined_score(F.col("cyclic_score"), F.col("value_score"), F.col("_met")))
-    ordinal = F.row_number().over(W.partitionBy("patient_id").orderBy("ws", "we")).cast("long")
+    ordinal = F.col("ws") * 64 + F.col("rule")  # windows of one rule that start together are one
     return done.select(
         "patient_id", F.lit(d.name).alias("concept"), instant(F.col("we")).alias("start"), instant(F.col("we") + MICRO).alias("end"), F.array(label).alias("value"), F.lit(d.family).alias("kind"), ordinal.alias("ord"),
         F.lit(None).cast("double").alias("time_score"), "value_score", "cyclic_score",
