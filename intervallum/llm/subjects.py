@@ -56,17 +56,34 @@ def _cut(run: str) -> list[str]:
     return [w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] != "s" else w for w in words]
 
 
+def _code(term: str) -> int:
+    return zlib.crc32(term.encode()) - 2**31
+
+
 class Terms(dict):
-    """Run of letters -> numbers of its terms."""
+    """Term as written in ASCII -> its number."""
 
-    def __missing__(self, run: str) -> list[int]:
+    def __init__(self):
+        super().__init__()
+        self.runs: dict[str, list[int]] = {}
+
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        codes = self[run] = [zlib.crc32(w.encode()) - 2**31 for w in _cut(run)]
-        return codes
+        code = self[word] = _code(_cut(word)[0])
+        return code
+
+    def _run(self, run: str) -> list[int]:
+        """Numbers of the terms of a run of any letters."""
+        if len(self.runs) > 500_000:
+            self.runs.clear()
+        return self.runs.setdefault(run, [_code(w) for w in _cut(run)])
 
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.array([c for w in _RUN.findall(text) for c in self[w]], np.int32)
+        if text.isascii():  # the same terms, found without cutting runs first
+            codes = np.array([self[w] for w in _TERM.findall(text)], np.int32)
+        else:
+            codes = np.array([c for w in _RUN.findall(text) for c in (self.runs.get(w) or self._run(w))], np.int32)
         return np.unique(codes, return_counts=True) if len(codes) else (codes, codes)
 
 

@@ -57,6 +57,16 @@ def test_null_empty_and_odd_texts(spark):
     assert got[1003] == {"software"} and got[1004] == {"sport"} and got[1005] == {"law"}
 
 
+def test_terms():
+    """Changes of case, plural s, accents and other scripts; ASCII texts give the same terms by the short way."""
+    of = lambda t: sorted(subjects.Terms().count(t)[0].tolist())
+    code = subjects._code
+    text, terms = "courtRooms HTTP x_ab12cd ABc", sorted(map(code, ["court", "room", "http", "ab", "cd"]))
+    assert of(text) == of(text + " é") == terms
+    assert of("Café naïve") == sorted(map(code, ["cafe", "naive"]))
+    assert of("дома 嚤凍売") == sorted(map(code, ["дома", "嚤凍", "凍売"]))
+
+
 def test_empty(spark):
     d, s, l, _ = tables(spark, 20)
     assert subjects.subjects_of(d.limit(0), s, l).count() == 0
