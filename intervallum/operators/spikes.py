@@ -72,14 +72,15 @@ def _or_own(whole: np.ndarray | None, own: np.ndarray) -> np.ndarray:
     return own if whole is None else np.where(np.isnan(whole), own, whole)
 
 
-def _nearest_clean(u: np.ndarray, group: np.ndarray, flagged: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """For flagged readings the middle of the nearest ones before and after, at most `LOOK` away, that are not; `other` if there is none."""
+def _nearest_clean(u: np.ndarray, group: np.ndarray, flagged: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For the flagged readings `at` the middle of the nearest ones before and after, at most `LOOK` away, that are not; `other` if there is none."""
     sides = []
     for way in (-1, 1):
-        found = np.full(len(u), np.nan)
+        found = np.full(len(at), np.nan)
         for k in range(LOOK, 0, -1):
-            near, ok = _shift(u, group, way * k), _shift((~flagged).astype(float), group, way * k) == 1
-            found = np.where(ok, near, found)
+            near = np.clip(at + way * k, 0, len(u) - 1)
+            ok = (near == at + way * k) & (group[near] == group[at]) & ~flagged[near]
+            found[ok] = u[near[ok]]
         sides.append(found)
     a, b = sides
     fill = np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2))
@@ -100,27 +101,31 @@ def phase_space(u: np.ndarray, group: np.ndarray, groups: int, rounds: int | Non
     """
     clean, flagged = u.copy(), np.zeros(len(u), bool)
     n = _or_own(size, np.bincount(group, minlength=groups))
-    reach = np.sqrt(2 * np.log(np.maximum(n, 2)))[group]
-    given = lambda r, k: medians[min(r, len(medians) - 1)][:, k] if medians else None
-    usual = _or_own(given(0, 0), _group_median(u, group, groups))[group]
-    r = 0
-    while rounds is None or r < rounds:
-        step, bend, du = _differences(clean, group)
-        off = clean - _or_own(given(r, 0), _group_median(clean, group, groups))[group]
+    reach = np.sqrt(2 * np.log(np.maximum(n, 2)))
+    usual = _or_own(medians[0][:, 0] if medians else None, _group_median(u, group, groups))
+    rows, active, r = np.arange(len(u)), np.arange(groups), 0  # only series in which the last round found something go on
+    while len(rows) and (rounds is None or r < rounds):
+        x, g, k = clean[rows], np.searchsorted(active, group[rows]), len(active)
+        given = lambda c: medians[min(r, len(medians) - 1)][active, c] if medians else None  # noqa: E731, B023
+        step, bend, du = _differences(x, g)
+        off = x - _or_own(given(0), _group_median(x, g, k))[g]
         axes = []
-        for k, a in enumerate((off, step, bend, du)):
-            scale = 1.4826 * _or_own(given(r, k + 1), _group_median(np.abs(a), group, groups))[group]
-            axes.append(a / np.maximum(scale, 1e-12 + 1e-9 * np.abs(clean)))
+        for c, a in enumerate((off, step, bend, du)):
+            scale = 1.4826 * _or_own(given(c + 1), _group_median(np.abs(a), g, k))[g]
+            axes.append(a / np.maximum(scale, 1e-12 + 1e-9 * np.abs(x)))
         value, first, second, central = axes
-        turn = np.clip(_or_own(given(r, 5), _correlation(off, bend, group, groups)), -0.95, 0.95)[group]
-        outside = value**2 - 2 * turn * value * second + second**2 > (1 - turn**2) * reach**2
+        turn = np.clip(_or_own(given(5), _correlation(off, bend, g, k)), -0.95, 0.95)[g]
+        limit = reach[active][g] ** 2
+        outside = value**2 - 2 * turn * value * second + second**2 > (1 - turn**2) * limit
         for a, b in ((value, first), (first, second), (value, central)):
-            outside |= a**2 + b**2 > reach**2
-        new = outside & ~flagged
-        if not new.any():
-            break
-        flagged |= new
-        clean = np.where(flagged, _nearest_clean(u, group, flagged, usual), u)
+            outside |= a**2 + b**2 > limit
+        new = outside & ~flagged[rows]
+        flagged[rows[new]] = True
+        hit = np.zeros(k, bool)
+        hit[g[new]] = True
+        rows, active = rows[hit[g]], active[hit]
+        at = rows[flagged[rows]]
+        clean[at] = _nearest_clean(u, group, flagged, at, usual[group[at]])
         r += 1
     return clean, flagged
 
