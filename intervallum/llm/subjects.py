@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -119,7 +119,7 @@ class Vocabulary:
         mixed = t.astype(np.uint32) * np.uint32(2_654_435_761)
         return np.where(own, at, len(self.terms) + (mixed >> np.uint32(8)) % TAIL), np.where(own | (mixed & 1 == 1), 1.0, -1.0)
 
-    def vectors(self, terms: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def vectors(self, terms: Iterable[bytes], counts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, column, weight) of the documents' unit vectors, by row."""
         size = np.array([len(x) // 4 for x in terms], np.int64)
         row = np.repeat(np.arange(len(size)), size)
@@ -159,6 +159,27 @@ def vocabulary(vectors: DataFrame, documents: int) -> Vocabulary:
     return Vocabulary(words.terms, np.log((1 + documents) / np.maximum(df, 1)))
 
 
+def weigh(vectors: DataFrame, words: Vocabulary) -> DataFrame:
+    """(k, cols, weights): the unit vectors, as binary uint16 and float32 lists."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), 2000):
+                part = whole.iloc[lo : lo + 2000]
+                row, col, w = words.vectors(part.terms, part.counts)
+                edge = np.searchsorted(row, np.arange(len(part) + 1))
+                col, w = col.astype("<u2"), w.astype("<f4")
+                yield pd.DataFrame({"k": part.k.to_numpy(), "cols": [col[a:b].tobytes() for a, b in zip(edge, edge[1:])], "weights": [w[a:b].tobytes() for a, b in zip(edge, edge[1:])]})
+
+    return vectors.mapInPandas(run, "k long, cols binary, weights binary")
+
+
+def sparse(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, weight) of weighed vectors, by row."""
+    size = np.array([len(x) // 2 for x in part.cols], np.int64)
+    return np.repeat(np.arange(len(size)), size), np.frombuffer(b"".join(part.cols), "<u2"), np.frombuffer(b"".join(part.weights), "<f4")
+
+
 def _segment_sum(values: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     """Sum of rows of `values` by ascending `key`."""
     out = np.zeros((size, values.shape[1]))
@@ -168,15 +189,14 @@ def _segment_sum(values: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def project(part: pd.DataFrame, words: Vocabulary, basis: np.ndarray) -> np.ndarray:
+def project(vectors: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, basis: np.ndarray) -> np.ndarray:
     """Rows of X times `basis`."""
-    row, col, w = words.vectors(part.terms, part.counts)
-    return _segment_sum(basis.astype(np.float32)[col] * w[:, None], row, len(part))
+    row, col, w = vectors
+    return _segment_sum(basis.astype(np.float32)[col] * w[:, None], row, rows)
 
 
-def right_vectors(vectors: DataFrame, words: Vocabulary, rank: int = RANK, passes: int = PASSES, seed: int = 5, settled: float = SETTLED) -> np.ndarray:
-    """The first `rank` right singular vectors of all documents (columns x rank)."""
-    size = len(words.idf)
+def right_vectors(weighed: DataFrame, size: int, rank: int = RANK, passes: int = PASSES, seed: int = 5, settled: float = SETTLED) -> np.ndarray:
+    """The first `rank` right singular vectors of all documents (`size` columns x rank)."""
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, rank + 8))))[0]
     width = basis.shape[1]
 
@@ -186,12 +206,15 @@ def right_vectors(vectors: DataFrame, words: Vocabulary, rank: int = RANK, passe
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, seen = np.zeros((size, width)), 0
             for whole in batches:
-                for at in range(0, len(whole), 500):
-                    part = whole.iloc[at : at + 500]
-                    row, col, w = words.vectors(part.terms, part.counts)
-                    down = _segment_sum(basis[col] * w[:, None], row, len(part)).astype(np.float32)
-                    order = np.argsort(col, kind="stable")
-                    total += _segment_sum(down[row[order]] * w[order][:, None], col[order], size)
+                for at in range(0, len(whole), 1000):
+                    part = whole.iloc[at : at + 1000]
+                    row, col, w = sparse(part)
+                    down = project((row, col, w), len(part), basis).astype(np.float32)
+                    order = np.argsort(col, kind="stable")  # a radix sort: two bytes
+                    col = col[order]
+                    start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]]) if len(col) else np.zeros(0, int)
+                    if len(col):
+                        total[col[start]] += np.add.reduceat(down[row[order]] * w[order][:, None], start, axis=0)
                     seen += len(part)
             if seen:
                 salt = TaskContext.get().partitionId() // 64
@@ -206,7 +229,7 @@ def right_vectors(vectors: DataFrame, words: Vocabulary, rank: int = RANK, passe
 
     schema, singular, last = "block int, salt int, sums binary", None, None
     for _ in range(passes):
-        parts = vectors.mapInPandas(run(basis), schema)
+        parts = weighed.mapInPandas(run(basis), schema)
         sums = parts.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).toPandas()
         product = np.zeros((size, width))
         for r in sums.itertuples():
@@ -327,17 +350,18 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, ke
     if not n or not names:
         return empty
     words = vocabulary(vectors, n)
-    basis = right_vectors(vectors, words, rank)
+    weighed = cut(weigh(vectors, words))
+    basis = right_vectors(weighed, len(words.idf), rank)
     width = basis.shape[1]
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 part = whole.iloc[at : at + 1000]
-                z = unit(project(part, words, basis), EXPLAINED).astype("<f4")
+                z = unit(project(sparse(part), len(part), basis), EXPLAINED).astype("<f4")
                 yield pd.DataFrame({"k": part.k.to_numpy(), "z": [x.tobytes() for x in z]})
 
-    placed = cut(vectors.mapInPandas(embed, "k long, z binary"))
+    placed = cut(weighed.mapInPandas(embed, "k long, z binary"))
     unpack = lambda z: np.frombuffer(b"".join(z), "<f4").reshape(-1, width).astype(float)
     known = labels.select(F.col(key).cast("long").alias("k"), "subject").dropna().where(F.col("subject").isin(names)).distinct()
     known = known.withColumn("_n", F.row_number().over(W.partitionBy("subject").orderBy(F.xxhash64("k"), "k"))).where(F.col("_n") <= MOST_LABELS)
@@ -346,7 +370,8 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, ke
     z, own = unpack(marked.z), [list(x) for x in marked.own]
     tokens = Terms()
     counted = [tokens.count(f"{s} {info[s]}") for s in names]
-    about = unit(project(pd.DataFrame({"terms": [t.astype("<i4").tobytes() for t, _ in counted], "counts": [c.astype("<u4").tobytes() for _, c in counted]}), words, basis))
+    about = words.vectors([t.astype("<i4").tobytes() for t, _ in counted], [c.astype("<u4").tobytes() for _, c in counted])
+    about = unit(project(about, len(names), basis))
     model = Centroids(names, rest if rest in names else None)
     model.seed(z, own, about)
 

@@ -77,7 +77,7 @@ def test_right_vectors_are_singular(spark):
     d, *_ = tables(spark)
     v = subjects.count_terms(d, "doc_id", "text")
     words = subjects.vocabulary(v, 160)
-    basis = subjects.right_vectors(v, words, 6, passes=8, settled=0)
+    basis = subjects.right_vectors(subjects.weigh(v, words), len(words.idf), 6, passes=8, settled=0)
     part = v.toPandas()
     row, col, w = words.vectors(part.terms, part.counts)
     x = np.zeros((160, len(words.idf)))
