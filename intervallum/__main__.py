@@ -56,13 +56,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         kb, rows = KnowledgeBase.read(a.kb), spark.read.parquet(a.records)
         if a.patients is not None:
             rows = rows.join(records.patients(rows, a.patients), "patient_id", "left_semi")
-        run = Abstraction(records_of(rows), kb, cut_after=6)
+        run = Abstraction(records_of(rows), kb, cut_after=1)  # outputs, scores and summary read the stored frames
         names = sorted(kb.closure(a.only)) if a.only else list(kb.by_name)
         written = [n for n in names if kb.by_name[n].family not in ("raw-concept", "parameterized-raw-concept")]
         store.write_outputs(run.outputs(written), a.outputs)
         if patterns := [n for n in written if isinstance(kb.by_name[n], M.Pattern)]:
             store.write_scores(run.scores(patterns), a.scores)
         run.summary().orderBy("concept").show(1000, False)
+        store.failure_report(run.records, run).show(1000, False)
     elif a.command == "rerun":
         print("recomputed:", *store.rerun(records_of(spark.read.parquet(a.records)), KnowledgeBase.read(a.kb), a.changed, a.outputs, a.scores))
     elif a.command == "stats":

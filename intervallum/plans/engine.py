@@ -19,8 +19,10 @@ from intervallum.tables import cut
 def records_of(df: DataFrame, patient: str = "patient_id", concept: str = "concept_name", start: str = "start_date_time", end: str = "end_date_time", value: str = "value", ordinal: str | None = None) -> DataFrame:
     """Input records in the engine's form. Rows without patient, concept or start are left out; a null end is one second after the start.
 
+    The ordinal is the given column, or `ord` (as the loader writes it); without either a hash of the row breaks ties of time.
     Records of no length are kept, but clipping by global clippers drops them, as it drops every empty interval.
     """
+    ordinal = ordinal or ("ord" if "ord" in df.columns else None)
     ord_ = F.col(ordinal).cast("long") if ordinal else F.xxhash64(patient, concept, start, end, value)
     return df.select(F.col(patient).cast("long").alias("patient_id"), F.col(concept).alias("concept"), F.col(start).alias("start"), F.coalesce(F.col(end), F.col(start) + F.expr("interval 1 second")).alias("end"), F.col(value).cast("string").alias("value"), ord_.alias("ord")).dropna(subset=["patient_id", "concept", "start"])
 
@@ -59,6 +61,8 @@ class Abstraction:
                 M.Context: families.context, M.LocalPattern: patterns.local_pattern, M.GlobalPattern: patterns.global_pattern,
             }[type(d)]
             out = build(d, sources)
+        if self.cut_after and isinstance(d, M.Pattern):
+            out = cut(out)  # outputs and scores both read it
         if isinstance(d, M.Pattern):
             self.raw_scores[d.name] = out
         if self.bounds is not None:

@@ -82,21 +82,29 @@ def first_rows(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str
 
 
 def read_csv(spark: SparkSession, path: str, mapping: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """All records of CSV files with a header, strictly validated, first of each (patient, concept, start)."""
+    """All records of CSV files with a header, strictly validated, first of each (patient, concept, start). `ord` grows in order of file and line."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     placed = raw.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
     rows = checked(parsed(placed, mapping, keep=("__file", "__block", "__row")))
-    return first_rows(rows, ["patient_id", "concept_name", "start_date_time"], ["__file", "__block", "__row"]).drop("__file", "__block", "__row")
+    return first_rows(rows, ["patient_id", "concept_name", "start_date_time"], ["__file", "__block", "__row"]).drop("__file", "__block").withColumnRenamed("__row", "ord")
 
 
 def load_csv(spark: SparkSession, path: str, target: str, if_exists: str = "append", mapping: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Load CSV files into the parquet table `target`, all or nothing. if_exists: append (keys that are there stay) or replace."""
+    """Load CSV files into the parquet table `target`, all or nothing. if_exists: append (keys that are there stay) or replace.
+
+    `ord` of appended rows goes on after that of the rows that are there, so ties of time keep the order of arrival.
+    """
     if if_exists not in ("append", "replace"):
         raise ValueError("if_exists is append or replace")
     rows = read_csv(spark, path, mapping)
     key = ["patient_id", "concept_name", "start_date_time"]
     if if_exists == "append" and table_exists(spark, target):
-        rows = rows.join(spark.read.parquet(target).select(*key), key, "left_anti")
+        there = spark.read.parquet(target)
+        rows = rows.join(there.select(*key), key, "left_anti")
+        if "ord" in there.columns:
+            rows = rows.withColumn("ord", F.col("ord") + F.lit((there.agg(F.max("ord")).first()[0] or 0) + 1))
+        else:
+            rows = rows.drop("ord")
     rows.write.mode("append" if if_exists == "append" else "overwrite").parquet(target)
     return spark.read.parquet(target)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from intervallum.plans.engine import Abstraction, first_of_key
 from intervallum.plans.knowledge import KnowledgeBase
 from intervallum.sources.records import table_exists
+from intervallum.tables import store
 
 OUTPUT_KEY = ["patient_id", "concept_name", "start_date_time"]
 SCORE_KEY = ["patient_id", "pattern_name", "start_date_time", "compliance_type"]
@@ -40,17 +41,24 @@ def drop_stale(spark: SparkSession, path: str, by: str, names: Iterable[str]) ->
 
 
 def rerun(records: DataFrame, kb: KnowledgeBase, changed: Iterable[str], outputs: str, scores: str) -> list[str]:
-    """Recompute the changed definitions and all that depend on them; stale rows go first. Returns what was recomputed."""
+    """Recompute the changed definitions and all that depend on them. Returns what was recomputed.
+
+    New rows are computed and stored first, then they replace the old ones; only then old rows of definitions without new ones
+    are deleted. So a run that fails leaves the tables as they were.
+    """
     spark = records.sparkSession
     names = sorted(n for n in kb.dependants(changed) if n in kb.by_name)
-    drop_stale(spark, outputs, "concept_name", names)
-    drop_stale(spark, scores, "pattern_name", names)
-    run = Abstraction(records, kb)
+    run = Abstraction(records, kb, cut_after=1)
     written = [n for n in names if kb.by_name[n].family not in ("raw-concept", "parameterized-raw-concept")]
-    if written:
-        write_outputs(run.outputs(written), outputs)
-    if found := [n for n in written if kb.by_name[n].family.endswith("pattern")]:
-        write_scores(run.scores(found), scores)
+    found = [n for n in written if kb.by_name[n].family.endswith("pattern")]
+    new_rows = store(run.outputs(written)) if written else None
+    new_scores = store(run.scores(found)) if found else None
+    for new, path, by, write in ((new_rows, outputs, "concept_name", write_outputs), (new_scores, scores, "pattern_name", write_scores)):
+        there = set()
+        if new is not None:
+            write(new, path)
+            there = {r[0] for r in new.select(by).distinct().collect()}  # as many as definitions
+        drop_stale(spark, path, by, [n for n in names if n not in there])
     return names
 
 

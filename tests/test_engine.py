@@ -126,3 +126,22 @@ def test_command_line(spark, tmp_path, capsys):
     main(["export", at["outputs"], "--to", at["csv"]], spark)
     main(["kb", str(kb_dir), "--json", str(tmp_path / "kb.json")], spark)
     assert "recomputed: E L" in capsys.readouterr().out and KnowledgeBase.from_json((tmp_path / "kb.json").read_text()).get("S")
+
+
+def test_loaded_rows_keep_their_order(spark, tmp_path):
+    """Ties of time follow the order of lines, also over several loads."""
+    head = "PatientId,ConceptName,StartDateTime,EndDateTime,Value\n"
+    for name, lines in (("a.csv", [5, 3, 9]), ("b.csv", [1, 5, 2])):
+        (tmp_path / name).write_text(head + "".join(f"{p},C,2024-01-01 00:00:00,2024-01-01 00:00:01,x\n" for p in lines))
+        table = R.load_csv(spark, str(tmp_path / name), str(tmp_path / "t"))
+    assert [r.patient_id for r in table.orderBy("ord").collect()] == [5, 3, 9, 1, 2]
+    assert [r.patient_id for r in records_of(table).orderBy("ord").collect()] == [5, 3, 9, 1, 2]
+
+
+def test_failed_rerun_keeps_the_tables(spark, tmp_path, monkeypatch):
+    out, scores = str(tmp_path / "o"), str(tmp_path / "s")
+    store.write_outputs(Abstraction(small(spark), kb()).outputs(["S", "P", "Q"]), out)
+    monkeypatch.setattr(Abstraction, "scores", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.rerun(small(spark), kb(), ["S", "P"], out, scores)
+    assert spark.read.parquet(out).count() == 3
