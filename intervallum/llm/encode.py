@@ -7,9 +7,10 @@
    never changes a result, only what is saved.
 3. A chunk encoded on its own can differ from the whole text near its ends. Each join is repaired by re-encoding a window that
    begins in front of it and grows piece by piece into the chunk until both agree: the pre-tokenizer, run over the window,
-   begins a piece where it does in the chunk alone, and the ids of the next piece are the same. From such a place on the
-   pre-tokenizer sees the same text in both, so it goes on in the same way up to the last piece that the chunk's end doesn't
-   touch; from there the next window starts. A chunk without agreement is encoded with its neighbourhood.
+   begins a piece where it does in the chunk alone, behind a printable ASCII character (white space at the end of a part could
+   be split otherwise when more follows), and the ids of the next piece are the same. From such a place on the
+   pre-tokenizer sees the same text in both, so it goes on in the same way up to the last piece that doesn't come
+   near the chunk's end; from there the next window starts. A chunk without agreement is encoded with its neighbourhood.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Fixed value: what \s stands for there.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _GEAR = np.random.default_rng(20_140_106).integers(0, 2**32, 256, dtype=np.uint32)
-_WINDOW = 32  # bytes that the hash sees
+_WINDOW, AHEAD = 32, 8  # bytes that the hash sees, and two characters
 
 
 @lru_cache(maxsize=4)
@@ -115,13 +116,17 @@ class Encoder:
         self.encoded += len(part)
         return np.array(self.ranks.encode_ordinary(part.decode("utf-8")), self.kind)
 
-    def begins(self, part: bytes, whole: bool) -> np.ndarray:
-        """Where the pieces of `part` begin. Unless it is `whole`, what follows could change the last piece, so it must not end a piece."""
+    def begins(self, part: bytes) -> np.ndarray:
+        """Where the pieces of `part` begin, whatever follows it.
+
+        The pattern looks at most two characters past the end of a piece (contractions; a blank and what is behind it), so places
+        with less than `AHEAD` bytes behind them, and the end itself, are left out.
+        """
         ends = np.cumsum([len(p.encode()) for p in self.pieces.findall(part.decode("utf-8"))], dtype=np.int64)
-        return np.r_[0, ends] if whole else np.r_[0, ends[:-1]]
+        return np.r_[0, ends[ends + AHEAD <= len(part)]]
 
     def chunk(self, part: bytes) -> Chunk:
-        return Chunk(self.plain(part), self.begins(part, False).astype(np.uint16))
+        return Chunk(self.plain(part), self.begins(part).astype(np.uint16))
 
     def agreement(self, text: bytes, first: int, at: int, known: Chunk, offset: np.ndarray) -> int | None:
         """Where in the chunk at `at` its own ids start to be those of the text; a piece of the text begins at `first`."""
@@ -131,9 +136,10 @@ class Encoder:
             reach = known.begins[: size + 1].astype(int)
             end = at + int(reach[-1])
             window = text[start:end]
-            mine = self.begins(window, False) - (at - start)
+            mine = self.begins(window) - (at - start)
             both = np.intersect1d(mine, reach[:-1], assume_unique=True)
-            if len(both):
+            both = [q for q in both.tolist() if at + q == first or 32 < text[at + q - 1] < 127]
+            if both:
                 q = int(both[0])
                 after = int(reach[np.searchsorted(reach, q) + 1])
                 again = self.plain(text[start : at + after])
