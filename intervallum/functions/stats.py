@@ -147,10 +147,18 @@ def association(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 def correlated_pairs(df: DataFrame, columns: Sequence[str], over: float = 0.9) -> DataFrame:
     """(a, b, r) of column pairs whose absolute correlation is over a limit: one aggregate over all rows."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs])
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r")) for a, b in pairs])
     return df.agg(each.alias("x")).select(F.inline("x")).where(F.abs("r") > over)
 
 
+def prune_correlated(df: DataFrame, columns: Sequence[str], over: float = 0.9) -> list[str]:
+    """The columns without those that correlate too much with one before them. As many numbers as column pairs reach the driver."""
+    if len(columns) < 2:
+        return list(columns)
+    drop = {r.b for r in correlated_pairs(df, columns, over).collect()}
+    return [c for c in columns if c not in drop]
+
+
 # --- features --------------------------------------------------------------------------------------------------------
 
 

@@ -97,6 +97,17 @@ def feature_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("patient_id", "complication", F.inline(each))
 
 
+def feature_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the filled-in aspects that vary at all a model keeps: one that correlates too much with an earlier one goes."""
+    wide, aspects = _features(spark, sf_dir)
+    got = stats.impute(wide, aspects)
+    there = sorted(a for a in aspects if a in got.columns)
+    spread = got.agg(*[F.var_samp(f"`{a}`").alias(f"v{i}") for i, a in enumerate(there)]).first() if there else ()
+    vary = [a for a, v in zip(there, spread) if v is not None and v > 1e-5]
+    kept = set(stats.prune_correlated(got, vary))
+    return spark.createDataFrame([(a, int(a in kept)) for a in vary], "aspect string, kept long")
+
+
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjusted p-values of a made-up family: one per order, by priority."""
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_totalprice"])
@@ -198,7 +209,7 @@ def aspect_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        adherence_daily, adherence_type, adherence_pattern, adherence_total, adherence_summary_iqr, monthly_ci, event_day_ratio, score_bins, visit_durations, complication_labels, windowed_qa_features, feature_imputation,
+        adherence_daily, adherence_type, adherence_pattern, adherence_total, adherence_summary_iqr, monthly_ci, event_day_ratio, score_bins, visit_durations, complication_labels, windowed_qa_features, feature_imputation, feature_pruning,
         aspect_totals, bh_fdr, welch_t, welch_p, pearson_ols, correlated_columns, topk_per_group, column_profile, period_compare, rows_per_concept, iptw_weights_smd, firth_logistic, logistic_clustered, bootstrap_signs, iptw_outcome, robust_findings,
     )
 }
@@ -242,6 +253,11 @@ select a.patient_id, score_days, coalesce(event_days, 0) as event_days, {", ".jo
     "windowed_qa_features": f"with {_ASP} select patient_id, complication, aspect, {_R('avg_score')} from asp",
     "feature_imputation": f"""with {_ASP}, {_NAMES}, kept as (select aspect, median(avg_score) as middle from asp where split_part(aspect, '__', 1) in (select pattern_name from nm) and contains(aspect, '__') group by aspect having 1 - count(*) / (select count(*) from lab) <= 0.95)
 select lab.patient_id, lab.complication, kept.aspect, round(coalesce(avg_score, middle), 6) as score, cast(case when avg_score is null then 1 else 0 end as bigint) as missing from lab cross join kept left join asp on asp.patient_id = lab.patient_id and asp.complication = lab.complication and asp.aspect = kept.aspect""",
+    "feature_pruning": f"""with {_ASP}, {_NAMES}, known as (select aspect, median(avg_score) as middle from asp where split_part(aspect, '__', 1) in (select pattern_name from nm) and contains(aspect, '__') group by aspect having 1 - count(*) / (select count(*) from lab) <= 0.95),
+x as (select lab.patient_id, lab.complication, known.aspect, coalesce(avg_score, middle) as score from lab cross join known left join asp on asp.patient_id = lab.patient_id and asp.complication = lab.complication and asp.aspect = known.aspect),
+v as (select aspect from x group by aspect having var_samp(score) > 1e-5), dropped as (select b.aspect from x a join x b on a.patient_id = b.patient_id and a.complication = b.complication and a.aspect < b.aspect
+ where a.aspect in (select aspect from v) and b.aspect in (select aspect from v) group by a.aspect, b.aspect having abs(corr(a.score, b.score)) > 0.9)
+select aspect, cast(case when aspect in (select aspect from dropped) then 0 else 1 end as bigint) as kept from v""",
     "aspect_totals": f"""with {_ASP}, {_NAMES}, k as (select patient_id, complication, split_part(aspect, '__', 1) as pattern, avg(avg_score) as s from asp where split_part(aspect, '__', 1) in (select pattern_name from nm) and contains(aspect, '__') group by all),
 z as (select patient_id, complication, avg(s) as s from k group by all) select lab.patient_id, lab.complication, round(s, 6) as total_adherence from lab left join z on z.patient_id = lab.patient_id and z.complication = lab.complication""",
     "bh_fdr": """with o as (select o_orderkey, o_orderpriority, case when o_totalprice / 500000.0 <= 1 then o_totalprice / 500000.0 end as p from orders),

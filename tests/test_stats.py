@@ -3,7 +3,9 @@ import math
 import numpy as np
 import pandas as pd
 
-from intervallum.functions import stats
+from pyspark.sql import functions as F
+
+from intervallum.functions import registry, stats
 
 
 def test_student_tail():
@@ -75,3 +77,24 @@ def test_profile_and_totals(spark):
     t = stats.aspect_totals(spark.createDataFrame([(1.0, 0.0, 0.5), (None, None, 0.5), (None, None, None)], "a__x double, a__y double, b__x double"), ["a__x", "a__y", "b__x"]).collect()
     assert [r.total_adherence for r in t] == [0.5, 0.5, None]
     assert math.isclose(0.5, 0.5)
+
+
+def test_prune_correlated(spark):
+    """A column goes if one before it is too much like it, also if that one goes itself; without pairs all stay."""
+    df = spark.createDataFrame([(float(i), 2.0 * i + (i % 3), float((i * 7) % 5), float(-i)) for i in range(50)], "`a.1` double, b double, c double, d double")
+    assert stats.prune_correlated(df, ["a.1", "b", "c", "d"]) == ["a.1", "c"]
+    assert stats.prune_correlated(df, ["b"]) == ["b"] and stats.prune_correlated(df, []) == []
+
+
+def test_duration_columns(spark):
+    """Durations in rows are read as those in definitions; other texts are none."""
+    texts = ["90s", "15m", " 24h", "1d 12h", "2w", "6M", "1y", "h", "", None, "5", "3x"]
+    got = [r.d for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", registry.duration(F.col("t")).alias("d")).orderBy("i").collect()]
+
+    def expected(t):
+        try:
+            return registry.parse_duration(t)
+        except ValueError:
+            return None
+
+    assert got == [expected(t) for t in texts]
