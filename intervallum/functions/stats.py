@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -145,10 +145,30 @@ def association(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 
 def correlated_pairs(df: DataFrame, columns: Sequence[str], over: float = 0.9) -> DataFrame:
-    """(a, b, r) of column pairs whose absolute correlation is over a limit: one aggregate over all rows."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r")) for a, b in pairs])
-    return df.agg(each.alias("x")).select(F.inline("x")).where(F.abs("r") > over)
+    """(a, b, r) of column pairs whose absolute correlation over the rows that have both is over a limit.
+
+    Each partition adds up one matrix of moments about the means, so the cost is one pass however many pairs there are.
+    """
+    means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([means[f"m{i}"] or 0.0 for i in range(len(columns))])
+    names = ("n", "x", "y", "xx", "yy", "xy")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(columns), len(columns)))
+        for part in batches:
+            v = part.to_numpy(float) - centre
+            there = np.isfinite(v).astype(float)
+            v = np.where(there > 0, v, 0.0)
+            total += np.stack([there.T @ there, v.T @ there, there.T @ v, (v * v).T @ there, there.T @ (v * v), v.T @ v])
+        i, j = np.triu_indices(len(columns), 1)
+        yield pd.DataFrame({"i": i, "j": j} | {name: total[k, i, j] for k, name in enumerate(names)})
+
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    got = rows.mapInPandas(moments, "i long, j long, " + ", ".join(f"{n} double" for n in names)).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+    cov, vx, vy = F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    r = F.when((F.col("n") > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    label = F.array(*[F.lit(c) for c in columns])
+    return got.select(F.get(label, F.col("i").cast("int")).alias("a"), F.get(label, F.col("j").cast("int")).alias("b"), r.alias("r")).where(F.abs("r") > over)
 
 
 def prune_correlated(df: DataFrame, columns: Sequence[str], over: float = 0.9) -> list[str]:
